@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relspark.llm import decontaminate, repetition
+from relspark.llm import decontaminate, jaccard, linededup, repetition
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,24 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.score(_read(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_deleted", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op7_repetition": op7_repetition,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
