@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relspark.llm import decontaminate, jaccard, linededup, repetition
+from relspark.llm import decontaminate, jaccard, language, licenses, linededup, mixing, repetition, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,27 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_read(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.score(_read(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_deleted", "text")
@@ -33,8 +50,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_language": op5_language,
+    "op6_mixing": op6_mixing,
     "op7_repetition": op7_repetition,
+    "op8_licenses": op8_licenses,
+    "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_licenses": licenses.oracle_sql()}
