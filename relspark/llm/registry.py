@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relspark.llm import decontaminate, htmlextract, jaccard, language, licenses, linededup, mixing, repetition, secrets
+from relspark.llm import decontaminate, htmlextract, jaccard, language, licenses, linededup, mixing, repetition, secrets, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlextract.extract(_read(spark, sf_dir, "pages"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -53,6 +57,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_warc": op2_warc,
     "op3_decontaminate": op3_decontaminate,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_language": op5_language,
