@@ -2,21 +2,264 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relspark.catalog import Catalog, Ref
+from relspark.operators import aggregate, compare_columns, conjunction, get_with_index, index_scan, join, join_all, project, restrict
+from relspark.plans.layouts import AdaptiveHashLayout, BlockIndex, HashLayout, RangeLayout, index_join
+from relspark.sources import get_block, get_tuple, register
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{top}/relspark-{uuid.uuid4().hex}"
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    """Enters a query under its function's name, with its SQL."""
+
+    def enter(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return enter
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    return joined.filter(F.col("o_totalprice") > 100000).select("o_orderkey", "c_name")
+    return QUERIES["join_filter_both"](spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+@query("SELECT * FROM nation")
+def scan_full(spark, sf):
+    return table(spark, sf, "nation")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM (SELECT *, row_number() OVER () - 1 AS k FROM nation) WHERE k = 7")
+def get_tuple_by_place(spark, sf):
+    return get_tuple(table(spark, sf, "nation"), 7)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM (SELECT *, row_number() OVER () - 1 AS k FROM nation) WHERE k >= 8 AND k < 12")
+def get_block_by_place(spark, sf):
+    return get_block(table(spark, sf, "nation"), 2, 4)
+
+
+@query("SELECT CAST(c_custkey AS INTEGER) AS A1, c_nationkey AS A2 FROM customer")
+def dat_round_trip(spark, sf):
+    """Writes a fixed-width integer table and reads it back."""
+    register(spark)
+    path = folder(spark)
+    table(spark, sf, "customer").select(F.col("c_custkey").cast("int"), "c_nationkey").write.format("dat").mode("append").save(path)
+    return spark.read.format("dat").load(path)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def project_cols(spark, sf):
+    return project(table(spark, sf, "orders"), ["o_orderkey", 3])
+
+
+@query("SELECT * FROM orders WHERE o_custkey = 42")
+def restrict_eq(spark, sf):
+    return restrict(table(spark, sf, "orders"), "o_custkey", "42", "==")
+
+
+@query("SELECT * FROM customer WHERE c_nationkey != 7")
+def restrict_ne(spark, sf):
+    return restrict(table(spark, sf, "customer"), "c_nationkey", 7, "!=")
+
+
+@query("SELECT * FROM orders WHERE o_totalprice > 300000")
+def restrict_gt(spark, sf):
+    return restrict(table(spark, sf, "orders"), "A4", 300000, ">")
+
+
+@query("SELECT * FROM part WHERE p_size < 5")
+def restrict_lt(spark, sf):
+    return restrict(table(spark, sf, "part"), "p_size", 5, "<")
+
+
+@query("SELECT * FROM part WHERE p_size >= 45")
+def restrict_ge(spark, sf):
+    return restrict(table(spark, sf, "part"), "p_size", 45, ">=")
+
+
+@query("SELECT * FROM supplier WHERE s_acctbal <= 0")
+def restrict_le(spark, sf):
+    return restrict(table(spark, sf, "supplier"), "s_acctbal", 0, "<=")
+
+
+@query("SELECT * FROM lineitem WHERE l_quantity >= 10 AND l_quantity <= 20 AND l_returnflag = 'R'")
+def restrict_chain(spark, sf):
+    return conjunction(table(spark, sf, "lineitem"), [("l_quantity", ">=", 10), ("l_quantity", "<=", 20), ("l_returnflag", "=", "R")])
+
+
+@query("SELECT * FROM lineitem WHERE l_tax > l_discount")
+def restrict_columns(spark, sf):
+    return compare_columns(table(spark, sf, "lineitem"), "l_tax", ">", "l_discount")
+
+
+def _orders_customers(strategy: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        orders = project(table(spark, sf, "orders"), ["o_orderkey", "o_custkey"])
+        customers = project(table(spark, sf, "customer"), ["c_custkey", "c_name"])
+        return project(join(orders, customers, ("o_custkey", "c_custkey"), strategy), ["o_orderkey", "c_custkey", "c_name"])
+
+    return run
+
+
+for _strategy in ("auto", "hash", "sort_merge", "broadcast"):
+    QUERIES[f"join_{_strategy}"] = _orders_customers(_strategy)
+    ORACLES[f"join_{_strategy}"] = "SELECT o.o_orderkey, c.c_custkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"
+
+
+@query("SELECT n.*, r.* FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+def join_nested_loop(spark, sf):
+    return join(table(spark, sf, "nation"), table(spark, sf, "region"), ("n_regionkey", "r_regionkey"), "nested_loop")
+
+
+@query("SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
+def join_index(spark, sf):
+    """Both sides bucketed on the key: no exchange."""
+    layout = HashLayout(8).build(table(spark, sf, "customer"), "c_custkey")
+    return project(index_join(table(spark, sf, "orders"), layout, "o_custkey"), ["o_orderkey", "c_name"])
+
+
+@query("SELECT s.s_suppkey, c.c_custkey FROM supplier s JOIN customer c ON s.s_nationkey = c.c_nationkey AND s.s_acctbal < c.c_acctbal")
+def join_conditions(spark, sf):
+    joined = join(table(spark, sf, "supplier"), table(spark, sf, "customer"), [("s_nationkey", "=", "c_nationkey"), ("s_acctbal", "<", "c_acctbal")])
+    return project(joined, ["s_suppkey", "c_custkey"])
+
+
+@query("SELECT a.n_name AS n_name, b.n_name AS n_name_2 FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def join_self(spark, sf):
+    nation = table(spark, sf, "nation")
+    return project(join(nation, nation, ("n_regionkey", "n_regionkey")), ["n_name", "n_name_2"])
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND c_acctbal > 0")
+def join_three(spark, sf):
+    customers = restrict(table(spark, sf, "customer"), "c_acctbal", 0, ">")
+    joined = join_all([customers, table(spark, sf, "nation"), table(spark, sf, "region")], [("c_nationkey", "n_nationkey"), ("n_regionkey", "r_regionkey")])
+    return project(joined, ["c_custkey", "n_name", "r_name"])
+
+
+@query("SELECT o_orderkey, c_name FROM orders, customer WHERE o_custkey = c_custkey AND c_acctbal > 5000 AND o_totalprice > 100000")
+def join_filter_both(spark, sf):
+    catalog = Catalog(spark)
+    catalog.register("orders", table(spark, sf, "orders"))
+    catalog.register("customer", table(spark, sf, "customer"))
+    where = [("o_custkey", "=", Ref("c_custkey")), ("c_acctbal", ">", 5000), ("o_totalprice", ">", 100000)]
+    return catalog.query(["o_orderkey", "c_name"], ["orders", "customer"], where)
+
+
+@query("SELECT o_custkey AS A2, c_name AS A2_2 FROM orders, customer WHERE o_custkey = c_custkey AND o_totalprice > 100000")
+def dialect_positional(spark, sf):
+    catalog = Catalog(spark)
+    catalog.positional("ORDERS", table(spark, sf, "orders"))
+    catalog.positional("CUSTOMER", table(spark, sf, "customer"))
+    where = [("ORDERS.A2", "=", Ref("CUSTOMER.A1")), ("orders.a4", ">", "100000")]
+    return catalog.query(["ORDERS.A2", 7], ["ORDERS", "CUSTOMER"], where)
+
+
+@query("SELECT o_orderstatus AS A3, COUNT(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus")
+def dialect_sql_text(spark, sf):
+    catalog = Catalog(spark)
+    catalog.positional("ORDERS_P", table(spark, sf, "orders"))
+    return catalog.sql("SELECT ORDERS_P.A3, COUNT(*) AS n FROM ORDERS_P WHERE ORDERS_P.A4 > 1000 GROUP BY ORDERS_P.A3")
+
+
+@query("SELECT CAST(coalesce(SUM(p_size), 0) AS BIGINT) AS sum_p_size FROM part")
+def agg_sum_int(spark, sf):
+    return aggregate(table(spark, sf, "part"), "p_size", "SUM")
+
+
+@query("SELECT round(coalesce(SUM(l_quantity), 0), 2) AS s FROM lineitem")
+def agg_sum_double(spark, sf):
+    return aggregate(table(spark, sf, "lineitem"), "l_quantity", "SUM", name="s").select(F.round("s", 2).alias("s"))
+
+
+@query("SELECT AVG(CAST(p_size AS DOUBLE)) AS a FROM part")
+def agg_avg(spark, sf):
+    return aggregate(table(spark, sf, "part"), "p_size", "AVG", name="a")
+
+
+@query("SELECT MIN(o_totalprice) AS m FROM orders")
+def agg_min(spark, sf):
+    return aggregate(table(spark, sf, "orders"), "o_totalprice", "MIN", name="m")
+
+
+@query("SELECT MAX(o_totalprice) AS m FROM orders")
+def agg_max(spark, sf):
+    return aggregate(table(spark, sf, "orders"), "o_totalprice", "max", name="m")
+
+
+@query("SELECT COUNT(*) AS n FROM lineitem")
+def agg_count(spark, sf):
+    return aggregate(table(spark, sf, "lineitem"), "*", "COUNT", name="n")
+
+
+@query("SELECT CAST(coalesce(SUM(o_custkey), 0) AS BIGINT) AS s FROM orders WHERE o_orderkey < 0")
+def agg_empty_sum(spark, sf):
+    return aggregate(restrict(table(spark, sf, "orders"), "o_orderkey", 0, "<"), "o_custkey", "SUM", name="s")
+
+
+@query("SELECT o_custkey, COUNT(*) AS n FROM orders WHERE o_orderkey < 0 GROUP BY o_custkey")
+def agg_group_empty(spark, sf):
+    return aggregate(restrict(table(spark, sf, "orders"), "o_orderkey", 0, "<"), "*", "COUNT", ["o_custkey"], "n")
+
+
+@query("SELECT l_returnflag, l_linestatus, round(SUM(l_extendedprice), 2) AS s FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def agg_group_multi(spark, sf):
+    grouped = aggregate(table(spark, sf, "lineitem"), "l_extendedprice", "SUM", ["l_returnflag", "l_linestatus"], "s")
+    return grouped.withColumn("s", F.round("s", 2))
+
+
+@query("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey")
+def agg_group_count(spark, sf):
+    return aggregate(table(spark, sf, "orders"), "*", "COUNT", ["o_custkey"], "n")
+
+
+def _lineitem_layout(spark: SparkSession, sf: str) -> RangeLayout:
+    return RangeLayout(folder(spark), block_bytes=1 << 20).build(table(spark, sf, "lineitem"), "l_partkey")
+
+
+@query("SELECT * FROM lineitem WHERE l_partkey >= 10 AND l_partkey <= 20")
+def index_range(spark, sf):
+    return index_scan(_lineitem_layout(spark, sf), 10, high=20)
+
+
+@query("SELECT * FROM lineitem WHERE l_partkey < 3")
+def index_below(spark, sf):
+    return get_with_index(_lineitem_layout(spark, sf), 3, "<")
+
+
+@query("SELECT * FROM lineitem WHERE l_partkey = 42")
+def index_point_hash(spark, sf):
+    return index_scan(HashLayout(10).build(table(spark, sf, "lineitem"), "l_partkey"), 42)
+
+
+@query("SELECT * FROM lineitem WHERE l_partkey = 42")
+def index_point_adaptive(spark, sf):
+    return get_with_index(AdaptiveHashLayout(10_000).build(table(spark, sf, "lineitem"), "l_partkey"), 42)
+
+
+@query("SELECT * FROM lineitem WHERE l_partkey >= 40 AND l_partkey <= 42")
+def index_blocks(spark, sf):
+    index = BlockIndex(f"{sf}/lineitem.parquet", folder(spark), 256)
+    return index_scan(index.build(table(spark, sf, "lineitem"), "l_partkey"), 40, high=42)
