@@ -114,7 +114,7 @@ class _Writer(DataSourceWriter):
         with store.open_output_stream(f"{temporary}.rows", compression=None) as out:
             held = bytearray()
             for values in iterator:
-                if None in values:
+                if None in tuple(values):  # a Row itself looks among its field names
                     raise ValueError("a dat file has no nulls")
                 held += row.pack(*values)
                 n += 1
