@@ -4,8 +4,8 @@ Units of a text are its lines, its paragraphs of several lines, and the whole te
 paragraphs. A unit's words (runs of a-z and 0-9 after lower-casing) give the set of its word bigrams; the Dice
 coefficient with a template's set is 2 * common / (sum of sizes). A coefficient of at least t bounds a unit's size to
 [t / (2 - t), (2 - t) / t] times the template's, so units and templates meet in an equi-join on the unit's size: a
-template is listed under each size that it allows. Most short templates can reach t only with a unit that
-has one of the MARKERS (worked out from their bigrams, not assumed), and are listed for such units only.
+template is listed under each size that it allows. A unit that reaches t with any template also has one of a few
+words (markers, worked out from the templates' bigrams and t); texts and units without any are left out first.
 The table of templates is fixed, so its broadcast has a bound that doesn't depend on the data.
 
 Defined results: a null or empty text and a unit of one word give no row; ties go to the licence first in
@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from relspark.llm.license_texts import templates
 
 THRESHOLD = 0.8
-MARKERS = ("licen", "gpl", "cc", "copyright", "permission", "public", "clause", "free")
+# fixed values: words too frequent in some language's prose to be worth testing for
+COMMON = set("a all an and any are as at be by can do for from if in is it its may mit no not of on or other out person see so such that the this to under use we with without you your work project version terms free public".split())
 
 
 def bigrams(text: str) -> list[str]:
@@ -32,21 +35,42 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def _listed(threshold: float) -> list[tuple[int, bool, str, list[str]]]:
-    """(size of unit, whether it has a marker, licence, bigrams) of all that may reach the threshold."""
-    out, seen = [], set()
-    for licence, text in templates():
-        grams = bigrams(text)
-        if (licence, *grams) in seen:
-            continue
-        seen.add((licence, *grams))
-        n, bare = len(grams), sum(not any(m in g for m in MARKERS) for g in grams)
-        low, high = math.ceil(threshold / (2 - threshold) * n - 1e-9), math.floor((2 - threshold) / threshold * n + 1e-9)
-        for size in range(max(low, 1), high + 1):
-            out.append((size, True, licence, grams))
-            # without a marker the common bigrams are among the bare ones
-            if 2 * min(bare, size) / (n + size) >= threshold:
-                out.append((size, False, licence, grams))
+def _distinct() -> list[tuple[str, list[str]]]:
+    return [(licence, list(grams)) for licence, grams in sorted({(licence, tuple(bigrams(text))) for licence, text in templates()})]
+
+
+def _least(n: int, threshold: float) -> int:
+    """A unit that reaches the threshold has at least so many bigrams in common with a template of n."""
+    return max(1, math.ceil(threshold / (2 - threshold) * n - 1e-9))
+
+
+@lru_cache
+def markers(threshold: float = THRESHOLD) -> list[str]:
+    """Words of which any unit that reaches the threshold with any template has at least one.
+
+    A template's bigrams without a marker are fewer than the common ones needed. Chosen greedily: each time the
+    word that brings the templates nearest to that, common words last.
+    """
+    chosen: list[str] = []
+    open_ = [(set(grams), _least(len(grams), threshold)) for _, grams in _distinct()]
+    while open_ := [(bare, least) for bare, least in open_ if len(bare) >= least]:
+        gain: Counter = Counter()
+        for bare, least in open_:
+            touched: Counter = Counter(w for g in bare for w in set(g.split()))
+            for w, n in touched.items():
+                gain[w] += min(n, len(bare) - least + 1)
+        best = min(gain, key=lambda w: (w in COMMON or w.isdigit(), -gain[w], w))
+        chosen.append(best)
+        open_ = [({g for g in bare if best not in g.split()}, least) for bare, least in open_]
+    return sorted(chosen)
+
+
+def _listed(threshold: float) -> list[tuple[int, str, list[str]]]:
+    """(size of unit, licence, bigrams) of all that may reach the threshold."""
+    out = []
+    for licence, grams in _distinct():
+        high = math.floor((2 - threshold) / threshold * len(grams) + 1e-9)
+        out += [(size, licence, grams) for size in range(_least(len(grams), threshold), high + 1)]
     return out
 
 
@@ -57,16 +81,15 @@ def _grams(unit: Column) -> Column:
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, unit (line, paragraph, text), place (from 0 among its kind), license, dice: the best licence of each unit that reaches the threshold."""
-    listed = docs.sparkSession.createDataFrame(_listed(threshold), "size int, marked boolean, license string, template array<string>")
-    text = docs.filter("text is not null and text != ''").select("doc_id", "text", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"), F.split("text", r"\n[ \t\r]*\n").alias("parts"))
+    listed = docs.sparkSession.createDataFrame(_listed(threshold), "size int, license string, template array<string>")
+    marked = lambda body: F.lower(body).rlike(rf"(?<![a-z0-9])(?:{'|'.join(markers(threshold))})(?![a-z0-9])")
+    text = docs.filter(F.col("text").isNotNull() & marked("text")).select("doc_id", "text", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"), F.split("text", r"\n[ \t\r]*\n").alias("parts"))
     unit = lambda kind, array: F.transform(array, lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("place"), x.alias("body")))
     several = F.filter(unit("paragraph", "parts"), lambda u: u["body"].contains("\n"))
     whole = F.when(F.size("parts") > 1, F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("place"), F.col("text").alias("body")))).otherwise(F.array().cast("array<struct<unit:string,place:int,body:string>>"))
     units = text.select("doc_id", "th", F.inline(F.concat(unit("line", "lines"), several, whole)))
-    least = min(x[0] for x in _listed(threshold))
-    # at least so many bigrams need so many word boundaries; the test spares short lines the work
-    units = units.filter(F.length("body") > 2 * least).select("doc_id", "th", "unit", "place", F.lower("body").rlike("|".join(MARKERS)).alias("marked"), _grams(F.col("body")).alias("grams"))
-    met = units.withColumn("size", F.size("grams")).join(F.broadcast(listed), ["size", "marked"])
+    grams = units.filter(marked("body")).select("doc_id", "th", "unit", "place", _grams(F.col("body")).alias("grams"))
+    met = grams.withColumn("size", F.size("grams")).join(F.broadcast(listed), "size")
     common = F.size(F.array_intersect("grams", "template"))
     scored = met.withColumn("dice", 2.0 * common / (F.col("size") + F.size("template"))).filter(F.col("dice") >= threshold)
     one = scored.groupBy("doc_id", "th", "unit", "place").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("one"))
@@ -75,8 +98,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
     """DuckDB SQL of the same rows over the view documents: every unit against every template, without pruning."""
-    seen = sorted({(licence, tuple(bigrams(text))) for licence, text in templates()})
-    quoted = ", ".join(f"('{licence}', [{', '.join(repr(g) for g in grams)}])" for licence, grams in seen)
+    quoted = ", ".join(f"('{licence}', [{', '.join(repr(g) for g in grams)}])" for licence, grams in _distinct())
     return f"""
 WITH templates(license, template) AS (VALUES {quoted}),
 texts AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, string_split_regex(text, '\\n[ \\t\\r]*\\n') AS parts FROM documents WHERE text IS NOT NULL AND text <> ''),
