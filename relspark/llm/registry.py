@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relspark.llm import decontaminate, htmlextract, jaccard, language, licenses, linededup, mixing, repetition, secrets, warc
+from relspark.llm import decontaminate, htmlextract, jaccard, language, licenses, linededup, mixing, oracles, repetition, secrets, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,7 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_read(spark, sf_dir, "pages"))
+    return warc.round_trip(_read(spark, sf_dir, "pages")).drop("file")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.score(_read(spark, sf_dir, "documents"))
+    return repetition.score(_read(spark, sf_dir, "documents")).drop("longest_repeat", "n_maximal_repeats")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op8_licenses": licenses.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op2_warc": oracles.WARC,
+    "op3_decontaminate": oracles.DECONTAMINATE,
+    "op4_ngram_jaccard": oracles.JACCARD,
+    "op6_mixing": mixing.oracle_sql(),
+    "op7_repetition": oracles.REPETITION,
+    "op8_licenses": licenses.oracle_sql(),
+    "op9_secrets": oracles.SECRETS,
+}
