@@ -12,6 +12,8 @@ from relspark.functions.positional import COMPARISONS, column_of, comparison, pl
 
 #: Join algorithms by name and the hints that ask Spark for them; "auto" leaves the choice to Spark.
 STRATEGIES = {"auto": None, "nested_loop": "shuffle_replicate_nl", "hash": "shuffle_hash", "broadcast": "broadcast", "sort_merge": "merge"}
+#: The largest estimated right side, in bytes, that "broadcast" sends to every executor; beyond it the choice is Spark's.
+BROADCAST_BYTES = 256 << 20
 AGGREGATES = ("SUM", "AVG", "MIN", "MAX", "COUNT")
 
 
@@ -55,8 +57,8 @@ def join(
 ) -> DataFrame:
     """Inner join; the left columns, then the right ones, both keys kept.
 
-    on: one pair of columns, or (left column, comparison, right column) conditions that all hold. A broadcast is
-    asked for only by name: the caller vouches for the right side's size.
+    on: one pair of columns, or (left column, comparison, right column) conditions that all hold. "broadcast" holds
+    if Spark's estimate of the right side is within BROADCAST_BYTES, else the choice is left to Spark.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
@@ -71,9 +73,16 @@ def join(
         one = COMPARISONS[op](apart_l[place_of(left.columns, a)], apart_r[place_of(right.columns, b)])
         met = one if met is None else met & one
     hint = STRATEGIES[strategy]
+    if strategy == "broadcast" and estimated_bytes(right) > BROADCAST_BYTES:
+        hint = None
     return apart_l.join(apart_r.hint(hint) if hint else apart_r, met).toDF(*names)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a relation's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def join_all(relations: Sequence[DataFrame], on: Sequence[tuple[int | str, int | str]], strategy: str = "auto") -> DataFrame:
     """A left-deep chain: relation k + 1 joins all before it on on[k] (its first column is one of the joined relation)."""
     if len(on) != len(relations) - 1:

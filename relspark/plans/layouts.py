@@ -75,7 +75,12 @@ class HashLayout(Layout):
 
     def build(self, df: DataFrame, column: int | str) -> HashLayout:
         key = df.columns[place_of(df.columns, column)]
-        df.write.mode("overwrite").bucketBy(self.buckets, key).sortBy(key).format("parquet").saveAsTable(self.name)
+        return self._save(df, key, {})
+
+    def _save(self, df: DataFrame, key: str, options: dict[str, str]) -> HashLayout:
+        # dealt like the buckets, so that each bucket is one file and not one per task
+        dealt = df.repartition(self.buckets, df[f"`{key}`"])
+        dealt.write.mode("overwrite").options(**options).bucketBy(self.buckets, key).sortBy(key).format("parquet").saveAsTable(self.name)
         self.spark, self.column = df.sparkSession, key
         return self
 
@@ -89,15 +94,12 @@ class AdaptiveHashLayout(HashLayout):
         super().__init__(2, name)
         self.capacity = capacity
 
-    def build(self, df: DataFrame, column: int | str) -> AdaptiveHashLayout:
+    def build(self, df: DataFrame, column: int | str) -> HashLayout:
         key = df.columns[place_of(df.columns, column)]
-        self.buckets = 2
-        while self.buckets * self.capacity < df.count() and self.buckets < 1 << 16:
+        rows, self.buckets = df.count(), 2
+        while self.buckets * self.capacity < rows and self.buckets < 1 << 16:
             self.buckets *= 2
-        writer = df.write.mode("overwrite").bucketBy(self.buckets, key).sortBy(key).format("parquet")
-        writer.option(f"parquet.bloom.filter.enabled#{key}", "true").saveAsTable(self.name)
-        self.spark, self.column = df.sparkSession, key
-        return self
+        return self._save(df, key, {f"parquet.bloom.filter.enabled#{key}": "true"})
 
 
 class RangeLayout(_Ranges, Layout):

@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from relspark.operators import aggregate, compare_columns, conjunction, join, join_all, project, restrict
+
+from relspark.operators import aggregate, compare_columns, conjunction, join, join_all, project, relational, restrict
 from relspark.operators.relational import STRATEGIES
 from relspark.plans.explain import explain_strategy, physical_nodes, plan_text, summary
 from relspark.sources import random_table, table_of
@@ -50,6 +51,11 @@ def test_hints_reach_the_plan(spark):
     left, right = random_table(spark, 2, 10, 1000), random_table(spark, 2, 10, 1000, 5)
     for strategy, node in (("hash", "ShuffledHashJoin"), ("broadcast", "BroadcastHashJoin"), ("sort_merge", "SortMergeJoin"), ("nested_loop", "CartesianProduct")):
         assert node in physical_nodes(join(left, right, (0, 0), strategy)), strategy
+    relational.BROADCAST_BYTES, kept = 100, relational.BROADCAST_BYTES
+    try:
+        assert "ResolvedHint" not in plan_text(join(left, right, (0, 0), "broadcast")) and relational.estimated_bytes(right) > 100
+    finally:
+        relational.BROADCAST_BYTES = kept
     assert "SortMergeJoin" in summary(join(left, right, (0, 0), "sort_merge"))
 
 
