@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relspark.llm.components import shared_folder
+
 MIN_BLOCK_WORDS = 5
 _LINES = r"transform(split(text, '\n'), x -> trim(BOTH ' \t\r' FROM x))"
 
@@ -79,15 +81,23 @@ def blocks(matched: list[int], words: list[int], least: int) -> list[int]:
     return out
 
 
+def _slices(source: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about so many bytes, or of one row: as Python objects they take many times that."""
+    for batch in source:
+        step = max(1, batch.num_rows * least // max(batch.nbytes, 1))
+        for k in range(0, batch.num_rows, step):
+            yield batch.slice(k, step)
+
+
 def _align(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in source:
+    for part in _slices(source):
         later, first = part.column("lines").to_pylist(), part.column("first_lines").to_pylist()
         found = [sorted(i for i, _ in patience(a, b)) for a, b in zip(later, first, strict=True)]
         yield pa.RecordBatch.from_arrays([part.column("key"), part.column("words"), pa.array(found, pa.list_(pa.int32()))], ["key", "words", "matched"])
 
 
 def _cut(source: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for part in source:
+    for part in _slices(source):
         each = zip(part.column("matched").to_pylist(), part.column("words").to_pylist(), strict=True)
         cut = [blocks(x, n, least) for x, n in each]
         yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(cut, pa.list_(pa.int32()))], ["key", "cut"])
@@ -95,15 +105,17 @@ def _cut(source: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatc
 
 def cuts(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """key (doc_id and the text's hash) and the line numbers to delete, for each document that loses lines."""
+    shared_folder(docs.sparkSession)
     keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th")).alias("key"), "text").filter("text is not null")
     # 96 bits of hash for a line over the whole corpus; in a pair of documents 64 are enough
     lines = keyed.select("key", F.expr(f"explode({_LINES}) line")).filter("line != ''").select("key", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
-    holders = lines.groupBy("h", "g").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first != last").select("h", "g", "first")
+    # written tables, so that both sides of the joins below are shuffled and Spark can split a common line or a much-linked document
+    holders = lines.groupBy("h", "g").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first != last").select("h", "g", "first").checkpoint()
     links = lines.join(holders, ["h", "g"]).filter("key != first").select("key", "first").distinct()
     sequences = keyed.select("key", F.expr(f"transform({_LINES}, x -> xxhash64(x)) lines"), F.expr(rf"transform({_LINES}, x -> if(x = '', 0, size(split(x, '\\s+')))) words"))
-    sequences = sequences.groupBy("key").agg(F.first("lines").alias("lines"), F.first("words").alias("words"))
+    sequences = sequences.groupBy("key").agg(F.first("lines").alias("lines"), F.first("words").alias("words")).checkpoint()
     pairs = links.join(sequences, "key").join(sequences.select(F.col("key").alias("first"), F.col("lines").alias("first_lines")), "first")
-    key = docs.sparkSession.createDataFrame([], "key struct<id:bigint,th:bigint>").schema["key"].dataType.simpleString()
+    key = "struct<id:bigint,th:bigint>"
     matched = pairs.select("key", "words", "lines", "first_lines").mapInArrow(_align, f"key {key}, words array<int>, matched array<int>")
     matched = matched.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("matched"))).alias("matched"), F.first("words").alias("words"))
     return matched.mapInArrow(partial(_cut, least=min_block_words), f"key {key}, cut array<int>").filter("size(cut) > 0")
