@@ -20,12 +20,12 @@ own and comes last; repeated rows are separate documents. An empty table gives a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relspark.llm.components import shared_folder
 
-CAP, SHARDS, BLOCK, SEED = 3, 16, 16, 20240601
+CAP, SHARDS, BLOCK, SEED, FEW = 3, 16, 16, 20240601, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,11 +64,18 @@ def _seats(targets: DataFrame, block: int, shards: int) -> DataFrame:
     return x.join(won, ["__key", "shard"], "left").select("__key", "shard", (F.col("low") + F.coalesce("won", F.lit(0))).alias("seats"))
 
 
+def _number(text: Column) -> Column:
+    """52 bits of a text's MD5."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
     """The documents without text, with their size, source key and place in the seeded order; written once."""
     shared_folder(docs.sparkSession)
-    x = docs.withColumns({"size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"), "__key": F.struct(F.col("source").alias("name")), "__at": F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), "__th": F.xxhash64("text")})
-    return x.drop("text").checkpoint()
+    text = F.coalesce("text", F.lit(""))
+    x = docs.withColumns({"size": F.regexp_count(text, F.lit(WORD)).cast("long"), "__key": F.struct(F.col("source").alias("name")), "__th": F.md5(text)})
+    at = _number(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__th"))
+    return x.withColumn("__at", at).drop("text").checkpoint()
 
 
 def _planned(sized: DataFrame, block: int) -> tuple[DataFrame, int]:
@@ -93,8 +100,11 @@ def mix(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = S
     quota = _seats(targets, block, shards).groupBy("__key").agg(F.max("seats").alias("quota"))
     blocks = F.greatest(F.ceil(F.col("source_size") / block), F.lit(1))
     known = targets.join(quota, "__key", "left").withColumns({"quota": F.coalesce("quota", F.lit(0)), "blocks": blocks, "buckets": F.ceil(F.sqrt("n_docs"))})
-    known = known.withColumn("offset", F.expr(f"pmod(xxhash64({seed}, __key), blocks)")).drop("n_docs", "total")
-    x = sized.join(known, "__key").withColumn("__bucket", F.expr("pmod(xxhash64(__at), buckets)"))
+    known = known.withColumn("offset", _number(F.concat_ws(":", F.lit(str(seed)), F.coalesce("__key.name", F.lit("")))) % F.col("blocks")).drop("n_docs", "total")
+    # a table of few sources goes to every task; a larger one is shuffled, and Spark splits a hot source
+    few = targets.limit(FEW + 1).count() <= FEW
+    x = sized.join(F.broadcast(known) if few else known.checkpoint(), "__key")
+    x = x.withColumn("__bucket", F.floor(F.col("__at") / (1 << 52) * F.col("buckets")))
     starts = x.groupBy("__key", "__bucket").agg(F.sum("size").alias("words"))
     starts = starts.select("__key", "__bucket", (F.sum("words").over(Window.partitionBy("__key").orderBy("__bucket")) - F.col("words")).alias("start"))
     x = x.join(starts, ["__key", "__bucket"])
@@ -106,3 +116,37 @@ def mix(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = S
     upto = lambda w: taken.format(w=w, b=block, now=chosen.format(n=f"({w}) div {block}"), after=chosen.format(n=f"({w}) div {block} + 1"))
     x = x.withColumn("taken", F.expr(f"{upto('end')} - {upto('end - size')}").cast("long"))
     return x.select(*own, "size", "source_size", "target", "taken")
+
+
+def oracle_sql(block: int = BLOCK, seed: int = SEED) -> str:
+    """DuckDB SQL of the same rows over the view documents: every seat is ranked, every source is one stream."""
+    number = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT)".format
+    chosen = "(({n}) * (quota % blocks) + shift) // blocks"
+    taken = "((quota // blocks) * ({w}) + b * ({now}) + (({w}) - b * (({w}) // b)) * (({after}) - ({now})))"
+    upto = lambda w: taken.format(w=w, now=chosen.format(n=f"({w}) // b"), after=chosen.format(n=f"({w}) // b + 1"))
+    return rf"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5(coalesce(text, '')) AS th FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, CAST({CAP} * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total
+  FROM sums),
+levels AS (
+  SELECT *, (total - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level FROM weighed
+  WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size, total, greatest({block}, CAST(ceil(total / {1 << 30}) AS BIGINT)) AS b,
+    least(cap, coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER () * weight, cap)) AS target
+  FROM levels),
+seats AS (
+  SELECT source, row_number() OVER (ORDER BY (target / b) / (2 * seat - 1) DESC, source NULLS LAST, seat) AS place, round(total / b) AS house
+  FROM (SELECT *, unnest(range(1, CAST({CAP} * ceil(source_size / b) AS BIGINT) + 1)) AS seat FROM targets WHERE target > 0)),
+quotas AS (SELECT source, count(*) AS quota FROM seats WHERE place <= house GROUP BY source),
+known AS (
+  SELECT t.*, coalesce(quota, 0) AS quota, greatest(CAST(ceil(source_size / b) AS BIGINT), 1) AS blocks
+  FROM targets t LEFT JOIN quotas q ON t.source IS NOT DISTINCT FROM q.source),
+placed AS (
+  SELECT s.doc_id, s.size, k.source_size, k.target, k.quota, k.blocks, k.b, {number(f"'{seed}:' || coalesce(s.source, '')")} % k.blocks AS shift,
+    CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY {number(f"concat('{seed}:', coalesce(CAST(s.doc_id AS VARCHAR), ''), ':', s.th)")}, s.doc_id NULLS FIRST, s.th, s.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e
+  FROM sized s JOIN known k ON s.source IS NOT DISTINCT FROM k.source)
+SELECT doc_id, size, source_size, target, CAST({upto("e")} - {upto("e - size")} AS BIGINT) AS taken FROM placed"""
