@@ -27,12 +27,11 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     both = both.distinct().checkpoint()
     labels = both.groupBy("v").agg(F.min("u").alias("least")).select("v", F.least("v", "least").alias("label")).checkpoint()
     while True:
-        near = both.join(labels.select(F.col("v").alias("u"), "label"), "u").select("v", "label")
-        near = near.union(labels).groupBy("v").agg(F.min("label").alias("label"))
+        near = both.join(labels.select(F.col("v").alias("u"), "label"), "u").select("v", "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
+        near = near.union(labels.select("v", "label", F.col("label").alias("old"))).groupBy("v").agg(F.min("label").alias("label"), F.min("old").alias("old"))
         # the label's own label is known from the round before
         jumped = near.join(labels.select(F.col("v").alias("label"), F.col("label").alias("next")), "label")
-        moved = jumped.join(labels.select("v", F.col("label").alias("old")), "v")
-        moved = moved.select("v", F.least("label", "next").alias("label"), "old").checkpoint()
+        moved = jumped.select("v", F.least("label", "next").alias("label"), "old").checkpoint()
         changed = moved.filter("label != old").limit(1).count()
         labels = moved.select("v", "label")
         if not changed:
