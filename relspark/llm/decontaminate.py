@@ -170,7 +170,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, span: int, block_bytes: int)
     total = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     n, out = 1 + int(total // block_bytes), []
     for k in range(n):
-        block = Windows([tuple(x) for x in items.filter(F.expr(f"pmod(xxhash64(text), {n}) = {k}")).collect()], span)
+        block = Windows([tuple(x) for x in items.filter(F.expr(f"pmod(xxhash64(name, text), {n}) = {k}")).collect()], span)
         shared = spark.sparkContext.broadcast(block)
         counted = docs.select("text").mapInArrow(partial(_count, shared=shared), "token long, n long")
         block.choose({r["token"]: r["n"] for r in counted.groupBy("token").agg(F.sum("n").alias("n")).collect()})
