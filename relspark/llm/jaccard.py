@@ -6,8 +6,10 @@
 2. Band and row counts are chosen for the target recall: a pair at the threshold agrees in at least AGREE
    bands with that probability (choose_bands).
 3. Classes are shuffled on their band hashes. Each bucket links its members to its least member only, and a
-   link stays if the two agree in AGREE bands. The links' connected components are the candidate groups:
-   linear in the classes, whatever the size of a bucket.
+   link stays if the two agree in AGREE bands. A bucket whose members are then not all connected is split by
+   each further band, as often as it takes for its members to agree in AGREE bands, and these parts are linked
+   whole (_refined). So any two classes that agree in AGREE bands are connected, whatever heads their buckets.
+   The connected components are the candidate groups; the work is linear in the classes, whatever the size of a bucket.
 4. Every pair within a candidate group is verified on the full sets. A large group is dealt into blocks of about
    BLOCK shingles and each pair of blocks is a task; intersections are counted through posting lists, and only
    each class's number of links and a spanning forest of the links leave the task, not the pairs.
@@ -181,6 +183,28 @@ def _verify(source: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
         yield out
 
 
+def _refined(stars: DataFrame, classes: DataFrame, groups: DataFrame, bands: int) -> DataFrame:
+    """Links fp, head of the members of mixed buckets that agree in AGREE bands: groups has not connected all members of such a bucket.
+
+    stars: band, fp and size, for each member of a bucket. Each round appends a later band to the key of a mixed bucket.
+    Of two classes that agree in AGREE bands, some key of these bands holds both until they are linked. A bucket
+    of two needs no round, as one of them is its head.
+    """
+    # equal labels are told by their hash: a long is cheaper to compare than bytes
+    label = F.xxhash64(F.coalesce("label", "fp"))
+    rows = stars.filter("size > 2").join(groups, "fp", "left").select(F.col("band").alias("key"), "band", "fp", label.alias("label"))
+    for k in range(AGREE):
+        rows = rows.checkpoint()
+        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+        rows = rows.join(mixed, "key").checkpoint()
+        if k + 1 < AGREE:
+            later = F.expr(f"slice(tags, cast(array_position(tags, band) as int) + 1, {bands})")
+            rows = rows.join(classes.select("fp", "tags"), "fp").select("key", "fp", "label", F.explode(later).alias("band"))
+            rows = rows.select(F.xxhash64("key", "band").alias("key"), "band", "fp", "label")
+    heads = rows.groupBy("key").agg(F.min("fp").alias("head"))
+    return rows.join(heads, "key").filter("fp != head").select("fp", "head").distinct()
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = RECALL, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, th (the text's hash), class_id (least doc_id of all that links connect), n_links (documents linked), label (of the class; null without words)."""
     shared_folder(docs.sparkSession)
@@ -191,12 +215,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = RECALL,
     classes = worded.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("tags").alias("tags")).checkpoint()
 
     buckets = classes.select("fp", F.explode("tags").alias("band"))
-    heads = buckets.groupBy("band").agg(F.min("fp").alias("head"), F.count("*").alias("size")).filter("size > 1").select("band", "head")
-    stars = buckets.join(heads, "band").filter("fp != head").select("fp", "head").distinct()
+    heads = buckets.groupBy("band").agg(F.min("fp").alias("head"), F.count("*").alias("size")).filter("size > 1")
+    stars = buckets.join(heads, "band").select("band", "fp", "head", "size").checkpoint()
     tags = classes.select("fp", "tags")
-    agreed = stars.join(tags, "fp").join(classes.select(F.col("fp").alias("head"), F.col("tags").alias("head_tags")), "head")
+    agreed = stars.filter("fp != head").select("fp", "head").distinct().join(tags, "fp").join(classes.select(F.col("fp").alias("head"), F.col("tags").alias("head_tags")), "head")
     agreed = agreed.filter(F.expr(f"size(filter(zip_with(tags, head_tags, (x, y) -> x = y), x -> x)) >= {AGREE}"))
-    groups = components(agreed.select("fp", "head"), "fp", "head").select(F.col("v").alias("fp"), F.col("label").alias("comp"))
+    groups = components(agreed.select("fp", "head"), "fp", "head").withColumnRenamed("v", "fp")
+    more = _refined(stars, classes, groups, bands).checkpoint()
+    if not more.isEmpty():
+        groups = components(groups.select("fp", F.col("label").alias("head")).union(more), "fp", "head").withColumnRenamed("v", "fp")
+    groups = groups.withColumnRenamed("label", "comp")
 
     members = groups.join(classes.drop("tags"), "fp")
     load = members.groupBy("comp").agg(F.sum("n").alias("load")).select("comp", F.expr(f"cast(ceil(load / {block}) as int)").alias("blocks"))

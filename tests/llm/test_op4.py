@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from relspark.llm import jaccard
@@ -69,6 +70,29 @@ def test_large_group(spark):
     assert got == brute(rows)
 
 
+def test_near_copies_under_unlike_heads(spark):
+    """Near copies are found though each bucket that they share is headed by a half-alike text, of a large family."""
+    rng = random.Random(5)
+    make = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    bands, depth = jaccard.choose_bands()
+    for _ in range(20):
+        shared = make(80)
+        texts = [" ".join(shared + make(n)) for n in [7] * 12 + [80] * 2500]
+        offsets = np.cumsum([0, *map(len, texts)])
+        sets, row = jaccard._sets(np.frombuffer("".join(texts).encode(), np.uint8), offsets, 5)
+        tags, prints = jaccard._signatures(sets, row, len(texts), bands, depth), jaccard._prints(sets, row, len(texts))
+        a, b = sorted(range(12), key=lambda k: prints[k])[-2:]
+        unlike = [k for k in range(12, len(texts)) if prints[k] < prints[a] and max((tags[k] == tags[a]).sum(), (tags[k] == tags[b]).sum()) < jaccard.AGREE]
+        common = np.flatnonzero(tags[a] == tags[b])
+        heads = [next((k for k in unlike if tags[k, i] == tags[a, i]), None) for i in common]
+        if len(common) >= jaccard.AGREE and None not in heads:
+            break
+    rows = [(k, texts[k]) for k in {a, b, *heads}]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(docs).collect()), key=str)
+    assert sum(n for _, _, n in got) == 2 and got == brute(rows)
+
+
 @pytest.mark.parametrize("block", [jaccard.BLOCK, 60])
 def test_null_ids_in_a_class(spark, block):
     """A text without an id links like others and names a class only if the class has no other."""
