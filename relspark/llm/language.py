@@ -4,7 +4,7 @@ The model holds, for each language, the frequencies of byte trigrams within word
 case; digits and other ASCII separate words), counted over all training documents and smoothed. A word's
 likelihood under a language is the product over its trigrams. For each document expectation-maximisation
 estimates the proportions of the languages from its words' likelihoods. Then the document's language set is
-selected: with the likeliest k languages for k = 1, 2, ... MOST, proportions are estimated anew, and the k with the
+selected: with the likeliest k languages for k = 1, 2, ... (up to all, until no larger k can reach a higher value), proportions are estimated anew, and the k with the
 highest log-likelihood less PENALTY * k * log(words + 1) holds. The prediction is the language with the largest
 proportion in that set, the score its proportion.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from relspark.llm import textkit as tk
 
-BITS, SMOOTH, ROUNDS, MOST, PENALTY = 15, 0.5, 12, 3, 2.0
+BITS, SMOOTH, ROUNDS, PENALTY = 15, 0.5, 12, 2.0
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_languages int"
 _SEP = tk.PLAIN.copy()
 _SEP[0x30:0x3A] = True
@@ -103,20 +103,29 @@ def infer(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarr
     full = np.flatnonzero(np.bincount(row, minlength=rows))
     start, local = np.searchsorted(row, full), np.searchsorted(full, row)
     words = np.diff(np.append(start, len(row)))
-    share, _ = _em(likely, local, start, words, np.full((len(full), n), 1 / n, np.float32), ROUNDS)
+    share, fit = _em(likely, local, start, words, np.full((len(full), n), 1 / n, np.float32), ROUNDS)
+    # no proportions reach more than this: the likelihood's slope at these ones, by Jensen's inequality; with room for rounding
+    slope = np.add.reduceat(likely / (likely * share[local]).sum(1, keepdims=True), start, axis=0, dtype=np.float64) / words[:, None]
+    ceiling = fit + words * (np.log(slope.max(1)) + 1e-5) + 1e-6
     order = np.argsort(-share, axis=1, kind="stable")
     value = np.full(len(full), -np.inf)
-    for k in range(1, min(MOST, n) + 1):
-        mask = np.zeros((len(full), n), np.float32)
-        np.put_along_axis(mask, order[:, :k], 1, 1)
-        some = mask * share + mask * np.float32(1e-6)
-        some, fit = _em(likely, local, start, words, some / some.sum(1, keepdims=True), ROUNDS // 2 if k > 1 else 0)
-        fit -= PENALTY * k * np.log(words + 1)
-        better = fit > value
-        value[better] = fit[better]
-        lead = some.argmax(1)
-        best[full[better]], score[full[better]] = lead[better], some[better, lead[better]]
-        count[full[better]] = k
+    for k in range(1, n + 1):
+        still = np.flatnonzero(ceiling - PENALTY * k * np.log(words + 1) > value)
+        if not len(still):
+            break
+        flag = np.zeros(len(full), bool)
+        flag[still] = True
+        part, size = likely[flag[local]], words[still]
+        mask = np.zeros((len(still), n), np.float32)
+        np.put_along_axis(mask, order[still, :k], 1, 1)
+        some = mask * share[still] + mask * np.float32(1e-6)
+        some, fit = _em(part, np.repeat(np.arange(len(still)), size), np.cumsum(size) - size, size, some / some.sum(1, keepdims=True), ROUNDS // 2 if k > 1 else 0)
+        fit -= PENALTY * k * np.log(size + 1)
+        better = fit > value[still]
+        lead, at = some.argmax(1)[better], still[better]
+        value[at] = fit[better]
+        best[full[at]], score[full[at]] = lead, some[better, lead]
+        count[full[at]] = k
     return best, np.clip(score, 0, 1), count
 
 

@@ -30,6 +30,16 @@ def test_mixture_proportions(spark):
     assert model.names[best[0]] == "en" and 0.65 < score[0] < 0.85 and count[0] == 2
 
 
+def test_four_languages(spark):
+    """The set is as large as the likelihood asks for."""
+    docs = spark.read.parquet(SF).filter("length(text) > 800")
+    model = language.train(docs)
+    text = {r.lang: r.text.split()[:90] for r in docs.collect()}
+    data = np.frombuffer(" ".join(w for name in model.names for w in text[name]).encode(), np.uint8)
+    best, score, count = language.infer(data, np.array([0, len(data)]), model)
+    assert len(model.names) == 4 and count[0] == 4 and 0.2 < score[0] < 0.32
+
+
 def test_likelihood_never_falls():
     rng = np.random.default_rng(0)
     likely = rng.random((200, 3)).astype(np.float32) + 1e-3
