@@ -1,15 +1,16 @@
 """N-gram Jaccard join by MinHash banding.
 
 1. Each document's set of five-word shingles (words: ASCII letters in lower case, digits and all that is
-   not ASCII) gets a 128-bit fingerprint and BANDS x ROWS MinHash values. Documents of equal sets are one
-   class; from here on only classes are joined, so exact copies are never paired.
+   not ASCII) gets a 128-bit fingerprint, BANDS x ROWS MinHash values as band hashes, and a sketch: a byte of each value.
+   Documents of equal sets are one class; from here on only classes are joined, so exact copies are never paired.
 2. Band and row counts are chosen for the target recall: a pair at the threshold agrees in at least AGREE
-   bands with that probability (choose_bands).
-3. Classes are shuffled on their band hashes. Each bucket links its members to its least member only, and a
-   link stays if the two agree in AGREE bands. A bucket whose members are then not all connected is split by
-   each further band, as often as it takes for its members to agree in AGREE bands, and these parts are linked
-   whole (_refined). So any two classes that agree in AGREE bands are connected, whatever heads their buckets.
-   The connected components are the candidate groups; the work is linear in the classes, whatever the size of a bucket.
+   bands with that probability (choose_bands), and in enough bytes of the sketch with that probability (least_alike).
+3. Classes are shuffled on their band hashes. In a bucket of at most LOCAL classes every two that are not yet connected are
+   compared by their sketches, in one task of bounded size. A larger bucket links its members to its least member where the
+   sketches are alike; if its members are then not all connected, it is split by each further band, and its parts
+   are handled in the same way; parts that are still larger after AGREE bands are linked whole. So any two classes that
+   agree in AGREE bands and whose sketches are alike are connected, whatever else is in their buckets, and no
+   bucket's pairs leave a task. The connected components are the candidate groups.
 4. Every pair within a candidate group is verified on the full sets. A large group is dealt into blocks of about
    BLOCK shingles and each pair of blocks is a task; intersections are counted through posting lists, and only
    each class's number of links and a spanning forest of the links leave the task, not the pairs.
@@ -18,7 +19,7 @@
 
 Defined results: a text of one to four words has one shingle, all its words; a text without words (null,
 empty) is in no class with others and has no links. Repeated rows are copies of one another. A null doc_id
-is kept, and is a class id only if its class has no other.
+is kept, and is a class id only if its class has no other. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from relspark.llm import textkit as tk
 from relspark.llm.components import components, shared_folder
 
-SHINGLE, THRESHOLD, RECALL, AGREE, BLOCK = 5, 0.8, 0.9999, 3, 100_000
+SHINGLE, THRESHOLD, RECALL, AGREE, BLOCK, LOCAL = 5, 0.8, 0.9999, 3, 100_000, 4096
 
 
 def recall(similarity: float, rows: int, bands: int, agree: int = AGREE) -> float:
@@ -54,20 +55,29 @@ def choose_bands(threshold: float = THRESHOLD, target: float = RECALL, agree: in
     raise ValueError("no banding reaches the target recall")
 
 
-def _signatures(sets: np.ndarray, row: np.ndarray, rows: int, bands: int, depth: int) -> np.ndarray:
-    """Band hashes (rows x bands) of the shingle sets; 0 for an empty set."""
+def least_alike(values: int, threshold: float = THRESHOLD, target: float = RECALL) -> int:
+    """The most bytes in which the sketches of a pair at the threshold agree with the target's probability or more."""
+    missed, least = 0.0, 0
+    while (missed := missed + comb(values, least) * threshold**least * (1 - threshold) ** (values - least)) <= 1 - target:
+        least += 1
+    return least
+
+
+def _signatures(sets: np.ndarray, row: np.ndarray, rows: int, bands: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes (rows x bands) and sketches (rows x values) of the shingle sets; 0 for an empty set."""
     rng = np.random.default_rng(7)
     flip, times = rng.integers(0, 1 << 63, (2, bands * depth), dtype=np.uint64)
     start = tk.row_bounds(row, rows)
     full = np.flatnonzero(np.diff(start))
-    out = np.zeros((rows, bands), np.uint64)
+    out, sketch = np.zeros((rows, bands), np.uint64), np.zeros((rows, bands * depth), np.uint8)
     for b in range(bands):
         total = np.full(len(full), b + 1, np.uint64)
         for k in range(b * depth, b * depth + depth):
             least = np.minimum.reduceat((sets ^ flip[k]) * (times[k] * np.uint64(2) + np.uint64(1)), start[full]) if len(full) else total
             total = tk.mix(total ^ least)
+            sketch[full, k] = tk.mix(least) & np.uint64(0xFF)
         out[full, b] = total
-    return out
+    return out, sketch
 
 
 def _prints(sets: np.ndarray, row: np.ndarray, rows: int) -> list[bytes | None]:
@@ -90,10 +100,49 @@ def _sign(source: Iterator[pa.RecordBatch], k: int, bands: int, depth: int) -> I
     for part, data, offsets in tk.batches(source):
         rows = len(offsets) - 1
         sets, row = _sets(data, offsets, k)
-        tags = _signatures(sets, row, rows, bands, depth).view(np.int64)
-        tags = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * bands), pa.array(tags.ravel()))
+        tags, sketch = _signatures(sets, row, rows, bands, depth)
+        tags = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * bands), pa.array(tags.view(np.int64).ravel()))
         columns = [part.column("doc_id"), part.column("th"), pa.array(_prints(sets, row, rows), pa.binary()), pa.array(np.bincount(row, minlength=rows)), tags]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "fp", "n", "tags"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in sketch], pa.binary())], ["doc_id", "th", "fp", "n", "tags", "sketch"])
+
+
+def _connected(source: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by key, fp: in each bucket every member reached by alike sketches is linked to the least such member."""
+
+    def close(fps: list[bytes], sketches: list[bytes]) -> None:
+        marks = np.frombuffer(b"".join(sketches), np.uint8).reshape(max(len(fps), 1), -1)
+        left = np.arange(len(fps))
+        while len(left) > 1:
+            head, left = left[0], left[1:]
+            open_ = [head]
+            while open_ and len(left):
+                alike = np.count_nonzero(marks[left] == marks[open_.pop()], axis=1) >= least
+                open_ += left[alike].tolist()
+                out.extend((fps[k], fps[head]) for k in left[alike])
+                left = left[~alike]
+
+    out: list[tuple[bytes, bytes]] = []
+    key, fps, sketches = None, [], []
+    for part in source:
+        for k, fp, sketch in zip(*(part.column(c).to_pylist() for c in ("key", "fp", "sketch")), strict=True):
+            if k != key:
+                close(fps, sketches)
+                key, fps, sketches = k, [], []
+            fps.append(fp)
+            sketches.append(sketch)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.binary()) for j in (0, 1)], ["fp", "head"])
+            out = []
+    close(fps, sketches)
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.binary()) for j in (0, 1)], ["fp", "head"])
+
+
+def _alike(source: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The rows whose two sketches are alike."""
+    for part in source:
+        a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("sketch", "head_sketch"))
+        yield part.select(["fp", "head"]).filter(pa.array(np.count_nonzero(a == b, axis=1) >= least))
 
 
 def _collect_sets(source: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -183,50 +232,54 @@ def _verify(source: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
         yield out
 
 
-def _refined(stars: DataFrame, classes: DataFrame, groups: DataFrame, bands: int) -> DataFrame:
-    """Links fp, head of the members of mixed buckets that agree in AGREE bands: groups has not connected all members of such a bucket.
+def candidates(classes: DataFrame, bands: int, least: int, local: int = LOCAL) -> DataFrame:
+    """Links fp, head that connect any two classes of a common bucket with alike sketches. classes: fp, tags, sketch.
 
-    stars: band, fp and size, for each member of a bucket. Each round appends a later band to the key of a mixed bucket.
-    Of two classes that agree in AGREE bands, some key of these bands holds both until they are linked. A bucket
-    of two needs no round, as one of them is its head.
+    A round takes the buckets of one level: small ones in a task each, large ones by their head; only large ones that
+    links don't connect go on to the next, each split by the bands after its last. There are at most AGREE rounds.
     """
-    # equal labels are told by their hash: a long is cheaper to compare than bytes
-    label = F.xxhash64(F.coalesce("label", "fp"))
-    rows = stars.filter("size > 2").join(groups, "fp", "left").select(F.col("band").alias("key"), "band", "fp", label.alias("label"))
-    for k in range(AGREE):
-        rows = rows.checkpoint()
-        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-        rows = rows.join(mixed, "key").checkpoint()
-        if k + 1 < AGREE:
-            later = F.expr(f"slice(tags, cast(array_position(tags, band) as int) + 1, {bands})")
-            rows = rows.join(classes.select("fp", "tags"), "fp").select("key", "fp", "label", F.explode(later).alias("band"))
-            rows = rows.select(F.xxhash64("key", "band").alias("key"), "band", "fp", "label")
-    heads = rows.groupBy("key").agg(F.min("fp").alias("head"))
-    return rows.join(heads, "key").filter("fp != head").select("fp", "head").distinct()
-
-
-def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = RECALL, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    sketches, links, pair = classes.select("fp", "sketch"), None, "fp binary, head binary"
+    rows = classes.select("fp", F.explode("tags").alias("band")).select(F.col("band").alias("key"), "band", "fp")
+    for level in range(AGREE):
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("fp").alias("head")).filter("size > 1").checkpoint()
+        small = rows.join(sizes.filter(F.col("size") <= local).select("key"), "key").join(sketches, "fp").select("key", "fp", "sketch")
+        found = small.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_connected, least=least), pair)
+        links = (found if links is None else links.union(found)).distinct().checkpoint()
+        large = sizes.filter(F.col("size") > local).select("key", "head")
+        if large.isEmpty():
+            break
+        rows = rows.join(large, "key").checkpoint()
+        stars = rows.filter("fp != head").select("fp", "head").distinct()
+        if level + 1 < AGREE:
+            stars = stars.join(sketches, "fp").join(sketches.select(F.col("fp").alias("head"), F.col("sketch").alias("head_sketch")), "head")
+            stars = stars.mapInArrow(partial(_alike, least=least), pair)
+        links = links.union(stars).distinct().checkpoint()
+        # equal labels are told by their hash: a long is cheaper to compare than bytes
+        labels = components(links, "fp", "head").select(F.col("v").alias("fp"), F.xxhash64("label").alias("label"))
+        told = rows.join(labels, "fp", "left").select("key", F.coalesce("label", F.xxhash64("fp")).alias("label"))
+        mixed = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+        later = F.expr(f"slice(tags, cast(array_position(tags, band) as int) + 1, {bands})")
+        rows = rows.join(mixed, "key").join(classes.select("fp", "tags"), "fp").select("key", "fp", F.explode(later).alias("band"))
+        rows = rows.select(F.xxhash64("key", "band").alias("key"), "band", "fp").checkpoint()
+    return links
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = RECALL, shingle: int = SHINGLE, block: int = BLOCK, local: int = LOCAL) -> DataFrame:
     """doc_id, th (the text's hash), class_id (least doc_id of all that links connect), n_links (documents linked), label (of the class; null without words)."""
     shared_folder(docs.sparkSession)
     bands, depth = choose_bands(threshold, target)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    signed = slim.mapInArrow(partial(_sign, k=shingle, bands=bands, depth=depth), "doc_id long, th long, fp binary, n long, tags array<bigint>").checkpoint()
+    schema = "doc_id long, th long, fp binary, n long, tags array<bigint>, sketch binary"
+    signed = slim.mapInArrow(partial(_sign, k=shingle, bands=bands, depth=depth), schema).checkpoint()
     worded = signed.filter("fp is not null")
-    classes = worded.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("tags").alias("tags")).checkpoint()
-
-    buckets = classes.select("fp", F.explode("tags").alias("band"))
-    heads = buckets.groupBy("band").agg(F.min("fp").alias("head"), F.count("*").alias("size")).filter("size > 1")
-    stars = buckets.join(heads, "band").select("band", "fp", "head", "size").checkpoint()
-    tags = classes.select("fp", "tags")
-    agreed = stars.filter("fp != head").select("fp", "head").distinct().join(tags, "fp").join(classes.select(F.col("fp").alias("head"), F.col("tags").alias("head_tags")), "head")
-    agreed = agreed.filter(F.expr(f"size(filter(zip_with(tags, head_tags, (x, y) -> x = y), x -> x)) >= {AGREE}"))
-    groups = components(agreed.select("fp", "head"), "fp", "head").withColumnRenamed("v", "fp")
-    more = _refined(stars, classes, groups, bands).checkpoint()
-    if not more.isEmpty():
-        groups = components(groups.select("fp", F.col("label").alias("head")).union(more), "fp", "head").withColumnRenamed("v", "fp")
+    kept = [F.first(c).alias(c) for c in ("tags", "sketch")]
+    classes = worded.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), *kept).checkpoint()
+
+    links = candidates(classes.select("fp", "tags", "sketch"), bands, least_alike(bands * depth, threshold, target), local)
+    groups = components(links, "fp", "head").withColumnRenamed("v", "fp")
     groups = groups.withColumnRenamed("label", "comp")
 
-    members = groups.join(classes.drop("tags"), "fp")
+    members = groups.join(classes.drop("tags", "sketch"), "fp")
     load = members.groupBy("comp").agg(F.sum("n").alias("load")).select("comp", F.expr(f"cast(ceil(load / {block}) as int)").alias("blocks"))
     wanted = members.join(load, "comp").select("comp", "blocks", "fp", "copies", "rep")
     texts = slim.join(wanted, slim.doc_id.eqNullSafe(wanted.rep)).select("comp", "blocks", "fp", "copies", "rep", "text")

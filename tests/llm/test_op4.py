@@ -48,11 +48,11 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK, 300])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "local"), [(jaccard.BLOCK, jaccard.LOCAL), (300, 3)])
+def test_against_brute_force(spark, block, local):
     rows = corpus()
     docs = spark.createDataFrame([(k, t, b"x") for k, t in rows], "doc_id long, text string, fp binary")
-    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(docs, block=block).collect()), key=str)
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(docs, block=block, local=local).collect()), key=str)
     assert got == brute(rows)
 
 
@@ -70,27 +70,21 @@ def test_large_group(spark):
     assert got == brute(rows)
 
 
-def test_near_copies_under_unlike_heads(spark):
-    """Near copies are found though each bucket that they share is headed by a half-alike text, of a large family."""
+@pytest.mark.parametrize("local", [jaccard.LOCAL, 20])
+def test_near_copies_in_a_large_family(spark, local):
+    """Near copies are found among very many texts that are half alike, and the others stay alone."""
     rng = random.Random(5)
     make = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
-    bands, depth = jaccard.choose_bands()
-    for _ in range(20):
-        shared = make(80)
-        texts = [" ".join(shared + make(n)) for n in [7] * 12 + [80] * 2500]
-        offsets = np.cumsum([0, *map(len, texts)])
-        sets, row = jaccard._sets(np.frombuffer("".join(texts).encode(), np.uint8), offsets, 5)
-        tags, prints = jaccard._signatures(sets, row, len(texts), bands, depth), jaccard._prints(sets, row, len(texts))
-        a, b = sorted(range(12), key=lambda k: prints[k])[-2:]
-        unlike = [k for k in range(12, len(texts)) if prints[k] < prints[a] and max((tags[k] == tags[a]).sum(), (tags[k] == tags[b]).sum()) < jaccard.AGREE]
-        common = np.flatnonzero(tags[a] == tags[b])
-        heads = [next((k for k in unlike if tags[k, i] == tags[a, i]), None) for i in common]
-        if len(common) >= jaccard.AGREE and None not in heads:
-            break
-    rows = [(k, texts[k]) for k in {a, b, *heads}]
+    shared, rows = make(80), []
+    for k in range(600):
+        own = make(60)
+        rows.append((k, " ".join(shared + own)))
+        if k % 10 == 0:
+            own[rng.randrange(60)] = "edited"
+            rows.append((1000 + k, " ".join(shared + own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(docs).collect()), key=str)
-    assert sum(n for _, _, n in got) == 2 and got == brute(rows)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(docs, local=local).collect()}
+    assert got == {k: (k % 1000, int(k % 10 == 0)) for k, _ in rows}
 
 
 @pytest.mark.parametrize("block", [jaccard.BLOCK, 60])
@@ -119,6 +113,9 @@ def test_keep_one(spark):
 def test_recall_and_empty(spark):
     bands, rows = jaccard.choose_bands()
     assert jaccard.recall(0.8, rows, bands) >= 0.9999
+    values, rng = bands * rows, np.random.default_rng(1)
+    least = jaccard.least_alike(values)
+    assert (rng.binomial(values, 0.8, 400_000) >= least).mean() > 0.9998 and (rng.binomial(values, 0.5, 400_000) >= least).mean() < 0.001
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.join(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
 
