@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 CHUNK = 1 << 20
 _RNG = np.random.default_rng(20240229)
 _TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TABLES = (_TABLE, np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))  # of two independent fingerprints
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = [np.uint64(int(x) | 1) for x in _RNG.integers(1, 1 << 63, 32, dtype=np.uint64)]
@@ -88,7 +89,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
     """A 64-bit fingerprint of data[start:end] for ascending, disjoint spans, by segments of CHUNK bytes."""
     out, k = np.zeros(len(start), np.uint64), 0
     while k < len(start):
@@ -97,13 +98,21 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         part = data[low : end[stop - 1]]
         power, inverse = _powers(len(part))
         total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_TABLE[part] * power[: len(part)], dtype=np.uint64, out=total[1:])
+        np.cumsum(table[part] * power[: len(part)], dtype=np.uint64, out=total[1:])
         s, e = start[k:stop] - low, end[k:stop] - low
         out[k:stop] = (total[e] - total[s]) * inverse[s]
         k = stop
     return mix(out)
 
 
+def hash_runs(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each values[start:end]."""
+    power, inverse = _powers(len(values))
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[: len(values)], dtype=np.uint64, out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start])
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint and row of each word."""
     start, end, row = word_bounds(data, offsets, sep)
