@@ -75,25 +75,28 @@ def _places(name: str, pattern: str, group: int = 0) -> str:
 
 
 def _secrets() -> str:
-    (_, _, hex_n, hex_bits, _), (_, _, b64_n, b64_bits, _) = secrets.CLASSES
-    allowed = secrets.ALLOWED.replace("'", "''")
+    allowed, wide = secrets.ALLOWED, secrets.WINDOW
+    fit = lambda needs, lacks: " AND ".join(f"regexp_matches(m, '{x}')" for x in ("[0-9]", "[A-Za-z]", needs)) + " AND NOT " + " AND NOT ".join(f"regexp_matches(m, '{x}')" for x in (lacks, secrets.UUID))
+    places = ",".join(_places(name, pattern) for name, pattern, *_ in secrets.CLASSES)
+    candidates = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS class, {bits} AS bits, s, m FROM {name}_all WHERE {fit(needs, lacks)}" for name, _, needs, lacks, bits in secrets.CLASSES)
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),{_places("assign", secrets.ASSIGN, 2)},{_places("access", secrets.ACCESS)},{_places("hex", secrets.HEX)},{_places("long", secrets.CANDIDATE)},
-measured AS (
-  SELECT doc_id, s, m, CASE WHEN regexp_full_match(m, '[0-9a-f]+') THEN {hex_n} ELSE {b64_n} END AS w, CASE WHEN regexp_full_match(m, '[0-9a-f]+') THEN {hex_bits} ELSE {b64_bits} END AS bits
-  FROM long_all WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, '{allowed}')
-    AND (regexp_full_match(m, '[0-9a-f]+') OR regexp_matches(m, '[A-Zg-z+/_-]'))),
-high AS (
-  SELECT doc_id, s, w, min(i) AS lo, max(i) AS hi FROM (SELECT *, unnest(range(1, length(m) - w + 2)) AS i FROM measured WHERE length(m) >= w)
-  WHERE list_aggregate(string_split(substr(m, i, w), ''), 'entropy') >= bits GROUP BY doc_id, s, w, m),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),{_places("assign", secrets.ASSIGN, 2)},{_places("access", secrets.ACCESS)},{_places("run", secrets.HEX)},{places},
+candidates AS ({candidates}),
+cut AS (SELECT *, regexp_split_to_array(m, '{allowed}') AS p, regexp_extract_all(m, '{allowed}') AS g FROM candidates),
+placed AS (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM cut),
+parts AS (
+  SELECT doc_id, class, bits, p[i] AS t, CAST(s + coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(g[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM placed),
+windows AS (SELECT doc_id, class, s, s + i AS at FROM (SELECT *, unnest(range(0, length(t) - {wide - 1})) AS i FROM parts WHERE length(t) >= {wide}) WHERE list_aggregate(string_split(substr(t, i + 1, {wide}), ''), 'entropy') >= bits),
+marked AS (SELECT *, CASE WHEN at <= lag(at) OVER w + {wide} THEN 0 ELSE 1 END AS fresh FROM windows WINDOW w AS (PARTITION BY doc_id, class, s ORDER BY at)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, class, s ORDER BY at) AS k FROM marked),
 spans AS (
   SELECT doc_id, s, 0 AS k, s + length(m) AS e FROM assign_all WHERE length(v) >= 8
   UNION ALL SELECT doc_id, s, 1, s + length(m) FROM access_all WHERE length(m) >= 16
-  UNION ALL SELECT doc_id, s, 2, s + length(m) FROM hex_all
-  UNION ALL SELECT doc_id, s + lo - 1, 3, s + hi - 1 + w FROM high),
+  UNION ALL SELECT doc_id, s, 2, s + length(m) FROM run_all
+  UNION ALL SELECT doc_id, min(at), 3, max(at) + {wide} FROM numbered GROUP BY doc_id, class, s, k),
 named AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || s || ':' || e AS x FROM spans),
 grouped AS (
-  SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, string_agg(x, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY s, k) AS every
+  SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, string_agg(x, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY s, k, e) AS every
   FROM named GROUP BY doc_id)
 SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
 FROM d LEFT JOIN grouped USING (doc_id)"""

@@ -1,17 +1,23 @@
 """Secret scans with DataFrame functions only.
 
-Base spans are the matches of three patterns (assign, access, hex). Entropy spans come from candidate
-strings: long runs of base64 or hexadecimal characters. A window slides over a candidate; the count of each
-character and the sum of count * log2(count) are updated for the character that enters and the one that
-leaves, which gives the window's Shannon entropy. Each character class has its window and threshold. A candidate
-on the allow list (placeholders, alphabet runs) adds nothing; base spans stay whatever the allow list says.
+Base spans are the matches of three patterns (assign, access, hex). Entropy spans come from candidate strings, which
+each character class has its own of: hexadecimal runs of one case, and runs of base64 characters. A candidate is cut where a
+placeholder of the allow list stands in it; what is left is scored. A window of WINDOW characters slides over it: its Shannon
+entropy follows from the sum of count * log2(count) over its characters, and that sum changes by the count of the
+character that enters and of the one that leaves. Windows of enough entropy that overlap or touch are one span.
+A whole candidate that is a UUID adds nothing; base spans stay whatever the allow list says.
+
+Everything is linear in the text: strings are cut into pieces of PIECE characters and lists into chunks of CHUNK entries,
+within which sums run, and then over the pieces. The sums are whole numbers (logarithms times 2^40), so
+they don't drift.
 
 Offsets are in code points, end exclusive. Defined results: a null text is the empty text and has no spans;
-repeated rows each get their row.
+repeated rows each get their row; an empty table gives none; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -23,69 +29,132 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # a run shorter than 32 fails as a whole
 KINDS = ("assign", "access", "hex", "entropy")
 
-# name, alphabet, window in characters, least entropy in bits, what a candidate must have
-CLASSES = (
-    ("hex", "0123456789abcdef", 20, 3.0, r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 24, 3.9, r"^(?=.*[0-9])(?=.*[A-Za-z])(?=.*[A-Zg-z+/_-])"),
-)
+WINDOW, PIECE, CHUNK = 20, 1024, 256
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-ALLOWED = r"(?i)example|sample|placeholder|dummy|changeme|xxxx|0000|123456789|abcdefgh|^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+# name, candidates, what of them is of the class, what is not, least entropy of a window in bits
+ONE_CASE = "^(?:[0-9a-f]+|[0-9A-F]+)$"
+CLASSES = (("hex", "[A-Za-z0-9]{20,}", ONE_CASE, "^$", 3.0), ("base64", CANDIDATE, "[A-Za-z]", ONE_CASE, 3.7))
+# fixed values: the allow list
+ALLOWED = "(?i)example|sample|placeholder|dummy|changeme|xxxx|0000|123456789|abcdefgh"
+UUID = "^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+
+_PARTS = "array<struct<b:int,s:int,e:int,t:string,m:string>>"
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """A text around the matches of the pattern: for each match, and at the end, the text t from b to s before the match m from s to e."""
+
+    def chunk(pairs: Column, k: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            start = a["at"] + F.length(x["t"])
+            end = start + F.coalesce(F.length(x["m"]), F.lit(0))
+            found = F.struct(a["at"].alias("b"), start.alias("s"), end.alias("e"), x["t"].alias("t"), x["m"].alias("m"))
+            return F.struct(end.alias("at"), F.concat(a["out"], F.array(found)).alias("out"))
+
+        return F.aggregate(F.slice(pairs, k * CHUNK + 1, F.lit(CHUNK)), F.struct(F.lit(0).alias("at"), F.array().cast(_PARTS).alias("out")), step)
+
+    def placed(chunks: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        bases = F.aggregate(chunks, none, lambda a, c: F.struct((a["at"] + c["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        moved = lambda x, by: F.struct((x["b"] + by).alias("b"), (x["s"] + by).alias("s"), (x["e"] + by).alias("e"), x["t"].alias("t"), x["m"].alias("m"))
+        return F.flatten(F.zip_with(chunks, bases, lambda c, by: F.transform(c["out"], lambda x: moved(x, by))))
+
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t, m: F.struct(t.alias("t"), m.alias("m")))
+    chunks = _let(pairs, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda k: chunk(p, k)))
+    return _let(chunks, placed)
 
 
 def _places(text: Column, pattern: str) -> Column:
-    """The matches of the pattern: array of (s, e, m): start, end, string. What lies between matches gives the offsets."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    """The matches of the pattern, of _parts."""
+    return F.filter(_parts(text, pattern), lambda x: x["m"].isNotNull())
+
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["b"])
-        end = start + F.length(x["m"])
-        found = F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"))
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(found)).alias("out"))
+def _gain(n: Column) -> Column:
+    """2^40 times what one more of a character of which a window has n adds to the sum of count * log2(count)."""
+    g = [k * math.log2(k) if k else 0.0 for k in range(WINDOW + 1)]
+    return F.get(F.array(*(F.lit(round((b - a) * 2**40)) for a, b in zip(g, g[1:], strict=False))), n)
 
-    pairs = F.zip_with(between, whole, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-    return F.aggregate(pairs, first, step, lambda a: a["out"])
 
+_RUNS = "array<struct<lo:int,hi:int>>"
 
-def _hull(m: Column, alphabet: str, window: int, least: float) -> Column:
-    """lo, hi: from the first window of enough entropy to the end of the last (1-based; 0, 0 if none)."""
-    g = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(0.0)
-    at = lambda i: F.instr(F.lit(alphabet), F.substring(m, i, F.lit(1)))
-    first = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("n"), F.lit(0.0).alias("t"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
 
-    def step(a: Column, i: Column) -> Column:
-        enter = at(i)
-        leave = F.when(i > window, at(i - window)).otherwise(0)
-        come, gone = F.element_at(a["n"], enter), F.element_at(a["n"], F.greatest(leave, F.lit(1)))
-        change = F.when(enter == leave, 0.0).otherwise(g(come + 1) - g(come) + F.when(leave > 0, g(gone - 1) - g(gone)).otherwise(0.0))
-        total = a["t"] + change
-        high = (i >= window) & (F.log2(F.lit(float(window))) - total / window >= least)
-        counts = F.transform(a["n"], lambda v, k: v + F.when(k + 1 == enter, 1).otherwise(0) - F.when(k + 1 == leave, 1).otherwise(0))
-        lo = F.when(high & (a["lo"] == 0), i - window + 1).otherwise(a["lo"])
-        return F.struct(counts.alias("n"), total.alias("t"), lo.alias("lo"), F.when(high, i).otherwise(a["hi"]).alias("hi"))
+def _join(runs: Column, lo: Column, hi: Column) -> Column:
+    """The runs with one more from first window lo to last window hi, which joins the last one if their spans overlap or touch."""
+    last = F.element_at(runs, -1)
+    one = F.array(F.struct(lo.alias("lo"), hi.alias("hi")))
+    joined = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.struct(last["lo"].alias("lo"), hi.alias("hi"))))
+    return F.when((F.size(runs) > 0) & (F.coalesce(last["hi"], F.lit(0)) + WINDOW >= lo), joined).otherwise(F.concat(runs, one))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(m)), first, step, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
+
+def _high(piece: Column, base: Column, bits: float) -> Column:
+    """The runs (first and last begin, moved by base) of the piece's windows of at least so many bits."""
+    most = round(WINDOW * (math.log2(WINDOW) - bits) * 2**40)
+    same = lambda chars, c, first, n: F.size(F.filter(F.slice(chars, first, n), lambda y: y == c))
+    none = F.struct(F.lit(0).cast("long").alias("t"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.array().cast(_RUNS).alias("out"))
+
+    def slid(x: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            total = a["t"] + F.get(x["come"], i) - F.when(i >= WINDOW, F.get(x["gone"], i - WINDOW)).otherwise(F.lit(0))
+            start = i - (WINDOW - 1)
+            high, open_ = (start >= 0) & (total <= most), a["lo"] >= 0
+            near = open_ & (start <= a["hi"] + WINDOW)
+            lo = F.when(high & ~near, start).otherwise(a["lo"])
+            out = F.when(high & open_ & ~near, F.concat(a["out"], F.array(F.struct(a["lo"].alias("lo"), a["hi"].alias("hi"))))).otherwise(a["out"])
+            return F.struct(total.alias("t"), lo.alias("lo"), F.when(high, start).otherwise(a["hi"]).alias("hi"), out.alias("out"))
+
+        finish = lambda a: F.when(a["lo"] >= 0, F.concat(a["out"], F.array(F.struct(a["lo"].alias("lo"), a["hi"].alias("hi"))))).otherwise(a["out"])
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["come"]) - 1), none, step, finish)
+
+    def counted(chars: Column) -> Column:
+        # of a character: how many of it the window that it enters has, and how many are left in the window that it leaves
+        come = F.transform(chars, lambda c, j: _gain(same(chars, c, F.greatest(j - (WINDOW - 2), F.lit(1)), F.least(j, F.lit(WINDOW - 1)))))
+        gone = F.transform(chars, lambda c, j: _gain(same(chars, c, j + 2, F.lit(WINDOW - 1))))
+        return F.struct(come.alias("come"), gone.alias("gone"))
+
+    chars = F.slice(F.split(piece, "", -1), F.lit(1), F.length(piece))
+    runs = _let(_let(chars, counted), slid)
+    return F.transform(runs, lambda r: F.struct((r["lo"] + base).alias("lo"), (r["hi"] + base).alias("hi")))
+
+
+def _scored(part: Column, bits: float) -> Column:
+    """Spans s, e of the windows of enough entropy in the text of an entry of _parts."""
+
+    def cut(pieces: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), F.slice(pieces, F.lit(1), F.size(pieces) - 1))
+        overlapping = F.zip_with(pieces, before, lambda p, q: F.struct(p.alias("p"), F.right(q, F.lit(WINDOW - 1)).alias("q")))
+        return F.transform(overlapping, lambda x, k: _high(F.concat(x["q"], x["p"]), k * PIECE - F.length(x["q"]), bits))
+
+    runs = _let(F.regexp_extract_all(part["t"], F.lit(f".{{1,{PIECE}}}"), F.lit(0)), cut)
+    # runs of one piece are apart already: only the first of the next may join the last
+    joined = F.aggregate(
+        runs,
+        F.array().cast(_RUNS),
+        lambda a, r: F.when(F.size(r) > 0, F.concat(_join(a, F.get(r, F.lit(0))["lo"], F.get(r, F.lit(0))["hi"]), F.slice(r, F.lit(2), F.size(r)))).otherwise(a),
+    )
+    return F.transform(joined, lambda r: F.struct((part["b"] + r["lo"]).alias("s"), (part["b"] + r["hi"] + WINDOW).alias("e")))
 
 
-def _entropy(text: Column) -> Column:
-    found = F.filter(_places(text, CANDIDATE), lambda x: x["m"].rlike("[0-9]") & ~x["m"].rlike(ALLOWED))
+def _entropy(text: Column, pattern: str, needs: str, lacks: str, bits: float) -> Column:
+    """Spans s, e of the class's candidates."""
+    fit = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & m.rlike(needs) & ~m.rlike(lacks) & ~m.rlike(UUID)
+    found = F.filter(_places(text, pattern), lambda x: fit(x["m"]))
 
-    def measured(x: Column) -> Column:
-        hull = F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"))
-        for _, alphabet, window, least, shape in reversed(CLASSES):
-            hull = F.when(x["m"].rlike(shape) & (F.length(x["m"]) >= window), _hull(x["m"], alphabet, window, least)).otherwise(hull)
-        return F.struct(x["s"].alias("s"), hull["lo"].alias("lo"), hull["hi"].alias("hi"), x["m"].alias("m"))
+    def spans(x: Column) -> Column:
+        rest = F.filter(_parts(x["m"], ALLOWED), lambda p: F.length(p["t"]) >= WINDOW)
+        return F.transform(F.flatten(F.transform(rest, lambda p: _scored(p, bits))), lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e")))
 
-    high = F.filter(F.transform(found, measured), lambda x: x["hi"] > 0)
-    return F.transform(high, lambda x: F.struct((x["s"] + x["lo"] - 1).alias("s"), (x["s"] + x["hi"]).alias("e"), x["m"].alias("m")))
+    return F.flatten(F.transform(found, spans))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end by start, then kind) of each document."""
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    only = lambda there, found: F.when(there, found).otherwise(none)
+    ends = lambda found: F.transform(found, lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e")))
+    only = lambda there, found: F.when(there, found).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
     x = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     small = F.lower("t")
     named = small.contains("password") | small.contains("passwd") | small.contains("secret") | small.contains("token") | small.contains("api")
@@ -95,10 +164,10 @@ def scan(docs: DataFrame) -> DataFrame:
     assign = F.zip_with(_places(F.col("t"), ASSIGN), value, lambda p, v: F.when(F.length(v) >= 8, p))
     x = x.select(
         "doc_id",
-        only(F.col("named"), F.filter(assign, lambda p: p.isNotNull())).alias("assign"),
-        only(F.col("t").contains("AKIA"), F.filter(_places(F.col("t"), ACCESS), lambda p: F.length(p["m"]) >= 16)).alias("access"),
-        only(F.col("long"), _places(F.col("t"), HEX)).alias("hex"),
-        only(F.col("long"), _entropy(F.col("t"))).alias("entropy"),
+        only(F.col("named"), ends(F.filter(assign, lambda p: p.isNotNull()))).alias("assign"),
+        only(F.col("t").contains("AKIA"), ends(F.filter(_places(F.col("t"), ACCESS), lambda p: F.length(p["m"]) >= 16))).alias("access"),
+        only(F.col("long"), ends(_places(F.col("t"), HEX))).alias("hex"),
+        only(F.col("long"), F.concat(*(_entropy(F.col("t"), *kind[1:]) for kind in CLASSES))).alias("entropy"),
     )
     ranked: Callable[[str], Column] = lambda kind: F.transform(kind, lambda p: F.struct(p["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), p["e"].alias("e")))
     names = F.array(*map(F.lit, KINDS))
