@@ -5,16 +5,20 @@ from __future__ import annotations
 import html
 import re
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+|[^>]*)>|[!?/][^>]*>)""", re.S)
+_NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_STOP = re.compile("[\"'>]")
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 # fixed values: elements by kind
-RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noscript", "template", "svg", "math", "select", "button", "object", "canvas", "audio", "video", "datalist"}
+RAW = {"script", "style", "textarea", "title", "xmp", "iframe"}  # their content is no markup and runs to their end tag or the page's end
+INERT = {"template"}  # not shown; left out if it has an end tag
+CONTROL = {"button", "select", "datalist"}  # their text is a node of its own within the block; they end where a block begins or ends
+OPTIONS = {"option", "optgroup"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 BLOCK = set(
-    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 # an opening tag closes an open element of these names, up to the nearest of the second names
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody"}, {"table"}), "option": ({"option"}, {"select"})}
@@ -37,12 +41,13 @@ for _k, _name in enumerate(KINDS):
     for _w in HINTS[_name].split():
         _BIT[_w] = _BIT.get(_w, 0) | 1 << _k
 TAGS = ["html", "body", "div", "section", "article", "main", "p", "h1", "h2", "ul", "li", "nav", "aside", "header", "footer", "form", "table", "blockquote", "pre", "figure", "dl", "#text", "other"]
-_ALIKE = {"h3": "h2", "h4": "h2", "h5": "h2", "h6": "h2", "ol": "ul", "menu": "ul", "tr": "table", "td": "table", "th": "table", "tbody": "table", "thead": "table", "tfoot": "table", "caption": "table", "dt": "dl", "dd": "dl", "figcaption": "figure", "fieldset": "form", "legend": "form", "option": "form", "search": "form", "center": "div"}
-TAG_AT = {name: TAGS.index(_ALIKE.get(name, name)) if _ALIKE.get(name, name) in TAGS else len(TAGS) - 1 for name in [*BLOCK, "#text"]}
+_ALIKE = {"h3": "h2", "h4": "h2", "h5": "h2", "h6": "h2", "ol": "ul", "menu": "ul", "tr": "table", "td": "table", "th": "table", "tbody": "table", "thead": "table", "tfoot": "table", "caption": "table", "dt": "dl", "dd": "dl", "figcaption": "figure", "fieldset": "form", "legend": "form", "option": "form", "optgroup": "form", "button": "form", "select": "form", "datalist": "form", "search": "form", "center": "div"}
+TAG_AT = {name: TAGS.index(_ALIKE.get(name, name)) if _ALIKE.get(name, name) in TAGS else len(TAGS) - 1 for name in [*BLOCK, *CONTROL, "#text"]}
 _FIRST_TAG_BIT = len(KINDS)
 # tags that say something about all that they hold
 _UNDER = {name: 1 << (_FIRST_TAG_BIT + k) for k, name in enumerate(["article", "main", "nav", "aside", "header", "footer", "form", "li"])}
 N_MASK = _FIRST_TAG_BIT + len(_UNDER)
+_UNDER |= dict.fromkeys(CONTROL, _UNDER["form"])
 _CACHE: dict[str, int] = {}
 
 
@@ -80,76 +85,123 @@ class Page:
         return k
 
 
+def _quoted_end(source: str, at: int) -> int:
+    """The place of the > that ends a tag, outside of quotes; -1 if there is none."""
+    while m := _STOP.search(source, at):
+        if m[0] == ">":
+            return m.start()
+        at = source.find(m[0], m.end()) + 1
+        if not at:
+            return -1
+    return -1
+
+
 def read(source: str) -> Page:
-    page = Page()
-    top = page.add(TAG_AT["html"], -1, 0)
-    stack: list[tuple[str, int]] = [("html", top)]  # open elements: name, node (-1: inline)
-    blocks, pieces, links, linked = [top], [], 0, 0
-    leaf = TAG_AT["#text"]
+    """The page's nodes, in time linear in the source.
 
-    def flush() -> None:
+    Where the quotes of a tag swallow the rest of the page, that tag and those after it end at the next >, quoted or not.
+    """
+    page = Page()
+    top, leaf = page.add(TAG_AT["html"], -1, 0), TAG_AT["#text"]
+    stack: list[list] = [["html", top, 0]]  # open blocks: name, node, open links in it
+    opened: dict[str, int] = {}
+    pieces: list[str] = []
+    links = linked = 0
+    control: tuple[str, str, int, int] | None = None  # an open control: name, attributes, the block's number of pieces and linked characters so far
+
+    def put(parent: int, first: int = 0) -> None:
+        """Makes the pieces from the first on a run of text."""
         nonlocal linked
-        if pieces:
-            text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip("\x20\t\n\x0b\x0c\r")
+        if len(pieces) > first:
+            text = _SPACE.sub(" ", html.unescape("".join(pieces[first:]))).strip("\x20\t\n\x0b\x0c\r")
             if text:
-                page.add(leaf, blocks[-1], 0, text, min(linked, len(text)))
-            pieces.clear()
+                page.add(leaf, parent, 0, text, min(linked, len(text)))
+            del pieces[first:]
         linked = 0
 
+    def release() -> None:
+        """Ends an open control: its text becomes a node, and the block's text goes on."""
+        nonlocal control, linked
+        if control:
+            name, attributes, first, count = control
+            if len(pieces) > first:
+                node = page.add(TAG_AT[name], stack[-1][1], hints(attributes) | _UNDER[name])
+                put(node, first)
+                page.end[node] = len(page.tag)
+            pieces.append(" ")
+            linked, control = count, None
+
     def close(upto: int) -> None:
-        """Close the open elements from place upto of the stack on."""
+        """Close the open blocks from place upto of the stack on."""
         nonlocal links
-        if upto < len(stack) and any(node >= 0 for _, node in stack[upto:]):
-            flush()
+        put(stack[-1][1])
         while len(stack) > upto:
-            name, node = stack.pop()
-            if node >= 0:
-                page.end[node] = len(page.tag)
-                blocks.pop()
-            elif name == "a":
-                links -= 1
-
-    at, size = 0, len(source)
-    for m in iter(lambda: _TAG.search(source, at), None):
-        if m.start() > at:
-            piece = source[at : m.start()]
-            pieces.append(piece)
-            if links:
-                linked += len(piece)
-        at = m.end()
-        name = m[2]
-        if name is None:
+            name, node, count = stack.pop()
+            page.end[node] = len(page.tag)
+            opened[name] -= 1
+            links -= count
+
+    at, begin, size, quoted, last, absent = 0, 0, len(source), True, source.rfind(">"), set()
+    while 0 <= (at := source.find("<", at)) < last:
+        m, kind = _NAME.match(source, at + 1), source[at + 1]
+        if m:
+            end = _quoted_end(source, m.end()) if quoted else -1
+            if end < 0:
+                quoted, end = False, source.find(">", m.end())
+        elif source.startswith("!--", at + 1):
+            end = source.find("-->", at + 4)
+            end = size - 1 if end < 0 else end + 2
+        elif kind in "!?/":
+            end = source.find(">", at)
+        else:
+            at += 1
             continue
-        name = name.lower()
-        if m[1]:
-            if name in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
-            elif name == "a":
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "a":
-                        del stack[k]
-                        links -= 1
-                        break
-                    if stack[k][1] >= 0:
-                        break
+        if at > begin:
+            pieces.append(source[begin:at])
+            linked += at - begin if links else 0
+        at = begin = end + 1
+        if not m:
             continue
-        if name in RAW:
-            if not m[3].endswith("/"):
-                done = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                at = done.end() if done else size
+        name, attributes = m[2].lower(), source[m.end() : end]
+        if m[1]:
+            if name in CONTROL:
+                if control and control[0] == name:
+                    release()
+            elif name in BLOCK and not (control and name in OPTIONS):
+                if opened.get(name):
+                    release()
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
+            elif name == "a" and stack[-1][2]:
+                stack[-1][2] -= 1
+                links -= 1
+        elif name in RAW or name in INERT:
+            if not attributes.endswith("/") and name not in absent:
+                done = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
+                if done:
+                    at = begin = done.end()
+                elif name in RAW:
+                    at = begin = size
+                else:
+                    absent.add(name)
             pieces.append(" ")
         elif name in VOID:
             if name == "hr":
-                flush()
-            pieces.append(" ") if name in ("br", "wbr") and pieces else None
+                release()
+                put(stack[-1][1])
+            elif name in ("br", "wbr") and pieces:
+                pieces.append(" ")
+        elif name in CONTROL:
+            release()
+            control, linked = (name, attributes, len(pieces), linked), 0
         elif name in BLOCK:
             if name == "html":
-                page.mask[top] |= hints(m[3])
+                page.mask[top] |= hints(attributes)
+                continue
+            if control and name in OPTIONS:
+                pieces.append(" ")
                 continue
-            if name in CLOSES:
+            release()
+            if name in CLOSES and any(opened.get(x) for x in CLOSES[name][0]):
                 names, stop = CLOSES[name]
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in names:
@@ -157,24 +209,19 @@ def read(source: str) -> Page:
                         break
                     if stack[k][0] in stop:
                         break
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][1] >= 0:
-                    break
-            flush()
-            node = page.add(TAG_AT[name], blocks[-1], (hints(m[3]) if m[3] else 0) | _UNDER.get(name, 0))
-            stack.append((name, node))
-            blocks.append(node)
+            if stack[-1][0] == "p":  # a block ends an open paragraph
+                close(len(stack) - 1)
+            put(stack[-1][1])
+            node = page.add(TAG_AT[name], stack[-1][1], (hints(attributes) if attributes else 0) | _UNDER.get(name, 0))
+            stack.append([name, node, 0])
+            opened[name] = opened.get(name, 0) + 1
         elif name == "a":
-            stack.append(("a", -1))
+            stack[-1][2] += 1
             links += 1
-    if at < size:
-        rest = source[at:]
-        pieces.append(rest)
-        linked += len(rest) if links else 0
+    if begin < size:
+        pieces.append(source[begin:])
+        linked += size - begin if links else 0
+    release()
     close(1)
-    flush()
     page.end[top] = len(page.tag)
     return page

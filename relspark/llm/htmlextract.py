@@ -8,7 +8,8 @@ a descendant never contradict each other. The kept runs of text, in page order,
 
 The classifier is trained on PAGES seeded layouts (layouts.py; the bound is this parameter), once for each
 driver process, and broadcast. Defined results: a null or empty page has the empty text; repeated rows and null
-ids are kept; pages are independent of one another.
+ids are kept; pages are independent of one another; other columns are not looked at. An unclosed element costs no text after
+it, but for those whose content is no markup (dom.RAW), which run to the page's end.
 """
 
 from __future__ import annotations

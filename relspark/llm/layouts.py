@@ -39,7 +39,7 @@ def _inline(rng: random.Random, text: str) -> str:
     words = text.split(" ")
     for _ in range(rng.choice([0, 0, 1, 2])):
         k = rng.randrange(len(words))
-        words[k] = rng.choice(["<b>{}</b>", "<a href='/x'>{}</a>", "<em>{}</em>", "<span>{}</span>", "<code>{}</code>"]).format(words[k])
+        words[k] = rng.choice(["<b>{}</b>", "<a href='/x'>{}</a>", "<em>{}</em>", "<span>{}</span>", "<code>{}</code>", "{} <button>Copy</button>"]).format(words[k])
     return " ".join(words)
 
 

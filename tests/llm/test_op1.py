@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import numpy as np
 
@@ -61,6 +62,35 @@ def test_reader():
     assert len(read("<div>" * 3000 + "deep" + "</div>" * 3000)) == 1
 
 
+def test_unclosed_elements_and_controls():
+    read = lambda s: [x for x in dom.read(s).text if x]
+    for name in ("button", "select", "datalist", "noscript", "svg", "math", "canvas", "object", "audio", "video", "template", "nav", "form"):
+        found = read(f"<div><p>before</p><{name} class=x> of it <p>after</p><p>more</p></div><p>end</p>")
+        assert found == ["before", "of it", "after", "more", "end"], name
+    assert read("<p>see <button>Copy</button> for <select><option>a<option>b</select>more</p>") == ["Copy", "a b", "see for more"]
+    assert read("<p>E = <math><mi>m</mi></math>c and <object>this</object></p>") == ["E = mc and this"]
+    assert read("<template><p>x</template><p>y") == ["y"]
+    for name in dom.RAW:
+        assert read(f"<p>a</p><{name}>b<p>c</p>") == ["a"], name
+
+
+def test_extraction_after_unclosed_elements():
+    trees = htmlextract.model()
+    body = "".join(f"<p>Paragraph {k} of the article has some words, and it ends here.</p>" for k in range(8))
+    want = "\n".join(f"Paragraph {k} of the article has some words, and it ends here." for k in range(8))
+    for name in ("button", "select", "svg", "math", "canvas", "object", "noscript"):
+        (text, _), = htmlextract.texts([f"<html><body><article><{name}>{body}</article></body></html>"], trees)
+        assert text == want, name
+
+
+def test_reader_is_linear():
+    for part in ("<a ", "<a \"", "<a '\"", "<", "</", "<!--", "<! ", "<a \"> \"", "<p><a>", "<a></p>", "<template>", "<button>x", "<div><li>", "<script", "</script", "<dd></b>"):
+        for source in (part * (300_000 // len(part)), part * (300_000 // len(part)) + ">"):
+            began = time.perf_counter()
+            dom.read(source)
+            assert time.perf_counter() - began < 3, part
+
+
 def test_boosting_learns_a_conjunction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4)).astype(np.float32)
