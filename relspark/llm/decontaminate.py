@@ -7,12 +7,16 @@ necessary prefix is one token, the rarest: documents are joined to windows on th
 in the window bounds where the window would begin; the window must lie within its document (length bound),
 and then all words are compared.
 
-The benchmark is the stated query set: it is dealt into blocks of at most BLOCK_BYTES of text by a hash of
-the item, and each block goes to the executors as one table while the documents stream past. The documents
-are never shuffled. Words are compared by 64-bit fingerprints.
+The benchmark's size decides how that join runs, and the rows are the same either way. Up to LOCAL_BYTES of text, the windows
+are one small table that goes to the tasks, and the documents stream past it. Beyond that, windows, counts and prefixes are tables:
+tokens of the documents are counted in one pass and joined with those of the benchmark by a shuffle, then the places of
+prefix tokens, each with the words around it, are joined with the windows by another. Before both shuffles a bit table of
+2^FILTER_BITS bits, whatever the benchmark, leaves out tokens that it can't hold; only that table goes through the driver. The
+documents' texts are never shuffled by report. Words are compared by 64-bit fingerprints.
 
 Defined results: a null or empty text has no words; an empty benchmark hits nothing. A null item_id
 counts as the empty string; rows of one item_id count as one item. Repeated documents each get their row.
+Other columns are not looked at, and clean passes them on whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relspark.llm import textkit as tk
+from relspark.llm.components import shared_folder
 
-SPAN, BLOCK_BYTES = 10, 32 << 20
+SPAN, LOCAL_BYTES, FILTER_BITS = 10, 1 << 20, 27
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -134,89 +139,218 @@ def find(ids: np.ndarray, row: np.ndarray, w: Windows) -> tuple[np.ndarray, np.n
     return begin, window
 
 
-def _search(source: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Adds the block's hit spans (first word, one past the last, alternating) and items to those of the blocks before."""
-    w: Windows = shared.value
+def _found(data: np.ndarray, offsets: np.ndarray, w: Windows) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, list[str]]]]:
+    """Each text's number of words, and of texts with a hit the hit words (as flags) and the items, sorted."""
+    rows = len(offsets) - 1
+    ids, row = _numbered(data, offsets, w.vocabulary)
+    begin, window = find(ids, row, w)
+    first = tk.row_bounds(row, rows)
+    of = row[begin]
+    cover = np.zeros(len(ids) + 1, np.int64)
+    np.add.at(cover, begin, 1)
+    np.add.at(cover, begin + w.size[window], -1)
+    hit = np.cumsum(cover[:-1]) > 0
+    times = w.item_at[window + 1] - w.item_at[window]
+    slot = np.repeat(w.item_at[window] - np.cumsum(times) + times, times) + np.arange(times.sum())
+    held = np.unique(np.stack([np.repeat(of, times), w.items[slot]], 1), axis=0)
+    held_at = np.searchsorted(held[:, 0], np.arange(rows + 1))
+    return np.diff(first), {int(k): (hit[first[k] : first[k + 1]], [w.names[i] for i in held[held_at[k] : held_at[k + 1], 1]]) for k in np.unique(of)}
+
+
+def _report(source: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in tk.batches(source):
-        rows = len(offsets) - 1
-        ids, row = _numbered(data, offsets, w.vocabulary)
-        begin, window = find(ids, row, w)
-        first = tk.row_bounds(row, rows)
-        of = row[begin]
-        cover = np.zeros(len(ids) + 1, np.int64)
-        np.add.at(cover, begin, 1)
-        np.add.at(cover, begin + w.size[window], -1)
-        hit = np.cumsum(cover[:-1]) > 0
-        times = w.item_at[window + 1] - w.item_at[window]
-        slot = np.repeat(w.item_at[window] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        held = np.unique(np.stack([np.repeat(of, times), w.items[slot]], 1), axis=0)
-        held_at = np.searchsorted(held[:, 0], np.arange(rows + 1))
-        spans, items = part.column("spans").to_pylist(), part.column("items").to_pylist()
-        for k in np.unique(of):
-            mine = hit[first[k] : first[k + 1]]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
-            spans[k] = [*(spans[k] or []), *edge.tolist()]
-            items[k] = [*(items[k] or []), *(w.names[i] for i in held[held_at[k] : held_at[k + 1], 1])]
-        columns = dict(zip(part.schema.names, part.columns, strict=True))
-        columns |= {"spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
-        columns["n_words"] = pa.array(np.diff(first).astype(np.int64))
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-
-def _blocks(docs: DataFrame, benchmark: DataFrame, span: int, block_bytes: int) -> list:
-    """The broadcast blocks of windows, each token's count over all documents taken into account."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
-    n, out = 1 + int(total // block_bytes), []
-    for k in range(n):
-        block = Windows([tuple(x) for x in items.filter(F.expr(f"pmod(xxhash64(name, text), {n}) = {k}")).collect()], span)
-        shared = spark.sparkContext.broadcast(block)
-        counted = docs.select("text").mapInArrow(partial(_count, shared=shared), "token long, n long")
-        block.choose({r["token"]: r["n"] for r in counted.groupBy("token").agg(F.sum("n").alias("n")).collect()})
-        shared.unpersist()
-        out.append(spark.sparkContext.broadcast(block))
-    return out
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with their hit spans of words, the items found and the number of words.
-
-    Columns spans, items and n_words are added; documents should not have columns of these names.
-    """
-    found = docs.withColumns({"spans": F.lit(None).cast("array<bigint>"), "items": F.lit(None).cast("array<string>"), "n_words": F.lit(None).cast("bigint")})
-    for shared in _blocks(docs, benchmark, span, block_bytes):
-        found = found.mapInArrow(partial(_search, shared=shared), found.schema)
-    return found
-
-
-def _hit_words(spans: list[int] | None) -> int:
-    total, reach = 0, 0
-    for low, high in sorted(zip((spans or [])[::2], (spans or [])[1::2], strict=True)):
-        total, reach = total + max(0, high - max(low, reach)), max(reach, high)
-    return total
-
-
-def _digest(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in source:
-        n_hit = [_hit_words(x) for x in part.column("spans").to_pylist()]
-        items = [sorted(set(x or [])) for x in part.column("items").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64())]
-            + [pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
+        n_words, found = _found(data, offsets, shared.value)
+        hits, items = np.zeros(part.num_rows, np.int64), [[] for _ in range(part.num_rows)]
+        for k, (flags, names) in found.items():
+            hits[k], items[k] = flags.sum(), names
+        digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+        columns = [part.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(hits), pa.array([len(x) for x in items], pa.int64()), pa.array(digests), pa.array(hits > 0)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+
+def _spans(source: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    for part, data, offsets in tk.batches(source):
+        found = _found(data, offsets, shared.value)[1]
+        keep = pa.array(list(found), pa.int64())
+        edges = [np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))).tolist() for flags, _ in found.values()]
+        columns = [part.column("doc_id").take(keep), part.column("th").take(keep), pa.array(edges, pa.list_(pa.int64())), pa.array([x for _, x in found.values()], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "th", "spans", "items"])
+
+
+def _clean(source: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    for part, data, offsets in tk.batches(source):
+        found = _found(data, offsets, shared.value)[1]
+        yield part.filter(pa.array([k not in found for k in range(part.num_rows)], pa.bool_()))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def _local(docs: DataFrame, benchmark: DataFrame, span: int, local_bytes: int):  # noqa: ANN202
+    """The broadcast windows of a benchmark of at most so many bytes, each token's count over all documents taken into account; None for a larger one."""
+    items = _items(benchmark)
+    if (items.agg(F.sum(F.octet_length("text") + F.octet_length("name") + 16).alias("n")).first()["n"] or 0) > local_bytes:
+        return None
+    table, context = Windows([tuple(x) for x in items.collect()], span), docs.sparkSession.sparkContext
+    counted = docs.select("text").mapInArrow(partial(_count, shared=context.broadcast(table)), "token long, n long")
+    table.choose({r["token"]: r["n"] for r in counted.groupBy("token").agg(F.sum("n").alias("n")).collect()})
+    return context.broadcast(table)
+
+
+def _pairs(words: np.ndarray, following: np.ndarray) -> np.ndarray:
+    return tk.mix(words * np.uint64(0x9E3779B97F4A7C15) + following * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def report(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _single(words: np.ndarray) -> np.ndarray:
+    return tk.mix(words ^ np.uint64(0xA0761D6478BD642F))
+
+
+def _lists(size: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _windows(source: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """Of each window of each item: the item, two hashes, the words and the tokens."""
+    for part, data, offsets in tk.batches(source):
+        words, row = tk.word_hashes(tk.lower(data), offsets, tk.PLAIN)
+        table, size, of = _pad(words, row, part.num_rows, span)
+        there = np.arange(span) < size[:, None]
+        pairs = np.where(there[:, 1:], _pairs(table[:, :-1], table[:, 1:]), np.uint64(0))
+        tokens = np.concatenate([pairs, np.where(size == 1, _single(table[:, 0]), np.uint64(0))[:, None]], 1)
+        held = np.concatenate([there[:, 1:], (size == 1)[:, None]], 1)
+        at = np.concatenate([[0], np.cumsum(size)])
+        flat = table[there]
+        hashes = [pa.array(tk.hash_runs(tk.mix(flat ^ np.uint64(salt)), at[:-1], at[1:]).view(np.int64)) for salt in (1, 2)]
+        yield pa.RecordBatch.from_arrays([part.column("name").take(pa.array(of)), *hashes, _lists(size, flat), _lists(held.sum(1), tokens[held])], ["name", "w1", "w2", "words", "tokens"])
+
+
+def _bits(tokens: DataFrame):  # noqa: ANN202
+    """A broadcast table of 2^FILTER_BITS bits, set at the tokens' places. At most 2^FILTER_BITS / 64 rows reach the driver."""
+    place = F.expr(f"token & {(1 << FILTER_BITS) - 1}")
+    slots = tokens.select(F.shiftright(place, 6).alias("slot"), F.expr(f"shiftleft(1L, cast((token & {(1 << FILTER_BITS) - 1}) & 63 as int))").alias("bit"))
+    rows = slots.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy()
+    return tokens.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+
+def _held(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    place = tokens & np.uint64((1 << FILTER_BITS) - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _tokens_of(data: np.ndarray, offsets: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words and rows of the texts, and place and value of their tokens that the bits may hold."""
+    words, row = tk.word_hashes(tk.lower(data), offsets, tk.PLAIN)
+    two = np.flatnonzero(row[:-1] == row[1:]) if len(row) else np.zeros(0, np.int64)
+    at = np.concatenate([two, np.arange(len(words))])
+    tokens = np.concatenate([_pairs(words[two], words[two + 1]), _single(words)])
+    ok = _held(tokens, bits)
+    return words, row, at[ok], tokens[ok]
+
+
+def _count_all(source: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    for _, data, offsets in tk.batches(source):
+        tokens, n = np.unique(_tokens_of(data, offsets, shared.value)[3], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+
+
+def _places(source: Iterator[pa.RecordBatch], shared, span: int) -> Iterator[pa.RecordBatch]:
+    """Where a prefix token may be: its document, value and place, and the words around it, of which so many lie before it."""
+    for part, data, offsets in tk.batches(source):
+        words, row, at, tokens = _tokens_of(data, offsets, shared.value)
+        bounds = tk.row_bounds(row, part.num_rows)
+        for k in range(0, len(at), 1 << 16):
+            here, of = at[k : k + (1 << 16)], row[at[k : k + (1 << 16)]]
+            low, high = np.maximum(here - span + 2, bounds[of]), np.minimum(here + span, bounds[of + 1])
+            size = high - low
+            slot = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+            doc = pa.array(of)
+            columns = [part.column("doc_id").take(doc), part.column("th").take(doc), pa.array(tokens[k : k + (1 << 16)].view(np.int64))]
+            columns += [pa.array(here - bounds[of]), pa.array((here - low).astype(np.int32)), _lists(size, words[slot])]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "th", "token", "at", "lead", "around"])
+
+
+def _united(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The united spans (first word, one past the last, alternating) of pairs of begin and size."""
+    for part in source:
+        out = []
+        for found in part.column("found").to_pylist():
+            spans: list[int] = []
+            for low, high in sorted((x["begin"], x["begin"] + x["size"]) for x in found):
+                if spans and low <= spans[-1]:
+                    spans[-1] = max(spans[-1], high)
+                else:
+                    spans += [low, high]
+            out.append(spans)
+        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(out, pa.list_(pa.int64()))], ["id", "th", "spans"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, span: int) -> DataFrame:
+    """hits by joins of tables."""
+    shared_folder(docs.sparkSession)
+    each = _items(benchmark).mapInArrow(partial(_windows, span=span), "name string, w1 long, w2 long, words array<bigint>, tokens array<bigint>").checkpoint()
+    key = ["w1", "w2"]
+    windows, names = each.dropDuplicates(key).select(*key, "words", "tokens").checkpoint(), each.select(*key, "name").distinct().checkpoint()
+    tokens = windows.select(F.explode("tokens").alias("token")).distinct()
+    counted = docs.select("text").mapInArrow(partial(_count_all, shared=_bits(tokens)), "token long, n long")
+    counts = counted.groupBy("token").agg(F.sum("n").alias("n")).join(tokens, "token", "left_semi").checkpoint()
+    placed = windows.select(*key, F.posexplode("tokens").alias("shift", "token")).join(counts, "token", "left")
+    rarest = placed.groupBy(key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shift", "token")).alias("one")).filter("one.n > 0")
+    prefixes = rarest.select(*key, "one.shift", "one.token").join(windows.select(*key, "words"), key).checkpoint()
+    schema = "id long, th long, token long, at long, lead int, around array<bigint>"
+    places = _keyed(docs).mapInArrow(partial(_places, shared=_bits(prefixes.select("token")), span=span), schema)
+    # the window must lie within the document, and all its words must be there
+    same = places.join(prefixes, "token").filter("lead >= shift and slice(around, lead - shift + 1, size(words)) = words")
+    found = same.select("id", "th", *key, F.struct((F.col("at") - F.col("shift")).alias("begin"), F.size("words").alias("size")).alias("found")).distinct().checkpoint()
+    spans = found.select("id", "th", "found").distinct().groupBy("id", "th").agg(F.collect_list("found").alias("found")).mapInArrow(_united, "id long, th long, spans array<bigint>")
+    items = found.select("id", "th", *key).distinct().join(names, key).groupBy("id", "th").agg(F.sort_array(F.collect_set("name")).alias("items"))
+    other = items.select(F.col("id").alias("id2"), F.col("th").alias("th2"), "items")
+    return spans.join(other, spans["id"].eqNullSafe(other["id2"]) & (spans["th"] == other["th2"])).select("id", "th", "spans", "items")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, local_bytes: int = LOCAL_BYTES) -> DataFrame:
+    """id, th (doc_id and the text's xxhash64), the hit spans of words (first, one past the last, alternating) and the items of each document with a hit."""
+    shared = _local(docs, benchmark, span, local_bytes)
+    if shared is None:
+        return _joined(docs, benchmark, span)
+    return _keyed(docs).mapInArrow(partial(_spans, shared=shared), "id long, th long, spans array<bigint>, items array<string>")
+
+
+def report(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """One row per document: words, hit words, items found with their digest, and whether any word is hit."""
-    found = hits(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), benchmark, span, block_bytes)
-    return found.drop("text").mapInArrow(_digest, SCHEMA)
+    shared = _local(docs, benchmark, span, local_bytes)
+    if shared is not None:
+        return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(partial(_report, shared=shared), SCHEMA)
+    n_hit = F.expr("aggregate(transform(spans, (x, i) -> if(i % 2 = 0, -x, x)), 0L, (a, x) -> a + x)")
+    found = _joined(docs, benchmark, span).select("id", F.col("th").alias("__th"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    sized = _keyed(docs).mapInArrow(_sizes, "doc_id long, th long, n_words long")
+    joined = sized.join(found, sized["doc_id"].eqNullSafe(found["id"]) & (sized["th"] == found["__th"]), "left")
+    none = hashlib.sha256(b"").hexdigest()
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return joined.select("doc_id", "n_words", number("n_hit"), number("n_items"), F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+
+
+def _sizes(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, data, offsets in tk.batches(source):
+        row = tk.word_bounds(tk.lower(data), offsets, tk.PLAIN)[2]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(np.bincount(row, minlength=part.num_rows).astype(np.int64))], ["doc_id", "th", "n_words"])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """The documents without any hit, with their columns."""
     columns = docs.columns
-    work = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else f"c{k}") for k, c in enumerate(columns)])
-    found = hits(work, benchmark, span, block_bytes).filter(F.coalesce(F.size("spans"), F.lit(0)) <= 0)
-    return found.select(*[F.col("text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(columns)])
+    names = ["text" if c == "text" else f"c{k}" for k, c in enumerate(columns)]
+    work = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)])
+    shared = _local(docs, benchmark, span, local_bytes)
+    if shared is not None:
+        found = work.mapInArrow(partial(_clean, shared=shared), work.schema)
+    else:
+        bad, own = _joined(docs, benchmark, span).select("id", "th"), work[f"c{columns.index('doc_id')}"].cast("long")
+        found = work.join(bad, own.eqNullSafe(bad["id"]) & (F.xxhash64(work["text"]) == bad["th"]), "left_anti")
+    return found.select(*[F.col(n).alias(c) for c, n in zip(columns, names, strict=True)])
