@@ -2,20 +2,24 @@
 
 1. Sources in code point order (null last) weigh 1, 2, 3, repeating. Their targets share all words by weight,
    but stop at CAP times the source's size; the excess goes to the others by weight until none is above.
-2. The mix consists of blocks of `block` words (`block` grows with the corpus so that it has at most 2^30
-   blocks). The blocks of each of the SHARDS output shards go to the sources with the highest quotients
-   target / (2 k - 1): the seats up to each shard's end are apportioned, and a shard's quota is the difference
-   (the method is house-monotone). Only seats within the proven rounding range of each source are ranked.
-3. A source's documents, in an order seeded by SEED, form one stream of words cut into blocks. A quota of n
-   blocks over a stream of b takes every block n div b times and n mod b evenly spaced blocks, from a seeded
-   offset, once more. So no document is taken more than CAP times, and the words taken of a document follow
-   in closed form from where it begins and ends in the stream.
+2. The mix consists of blocks of `block` words. The blocks of each of the SHARDS output shards go to the sources with
+   the highest quotients target / (2 k - 1): the seats up to each shard's end are apportioned, and a shard's quota is the
+   difference (the method is house-monotone). Only seats within the proven rounding range of each source are ranked.
+3. A source's documents, in an order seeded by SEED, form one stream of words cut into blocks. A source of n seats
+   over a stream of b blocks takes every block n div b times and n mod b evenly spaced blocks, from a seeded offset, once
+   more; these n choices are numbered round by round along the stream, and each shard takes as many of the next ones as its
+   quota says. So no document is taken more than CAP times, and the words that a shard takes of a document
+   follow in closed form from where the document begins and ends in the stream. spans() lists the chosen blocks.
 
 Streams are cut by two-level prefix sums (documents in buckets, buckets in sources), so a source with a third of
 all rows is spread over as many tasks as its size asks for.
 
+The tables of sources (weights, targets, seats) are ranked as wholes: they have a row for each source, or for each seat in
+doubt, not for each document.
+
 Defined results: a null or empty text has size 0 and nothing is taken of it; a null source is a source of its
-own and comes last; repeated rows are separate documents. An empty table gives an empty result.
+own and comes last; repeated rows are separate documents. An empty table gives an empty result. Other columns pass
+through; columns of the names that mix adds are replaced.
 """
 
 from __future__ import annotations
@@ -69,53 +73,87 @@ def _number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
-def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    """The documents without text, with their size, source key and place in the seeded order; written once."""
-    shared_folder(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    x = docs.withColumns({"size": F.regexp_count(text, F.lit(WORD)).cast("long"), "__key": F.struct(F.col("source").alias("name")), "__th": F.md5(text)})
-    at = _number(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__th"))
-    return x.withColumn("__at", at).drop("text").checkpoint()
+ADDED = ("size", "source_size", "target", "taken", "by_shard")
 
 
-def _planned(sized: DataFrame, block: int) -> tuple[DataFrame, int]:
-    targets = _targets(sized).checkpoint()
-    top = targets.agg(F.first("total").alias("n")).first()["n"] or 0
-    return targets, max(block, -(-int(top) // (1 << 30)))
+def _sized(docs: DataFrame, seed: int, text: bool) -> tuple[DataFrame, dict[str, str]]:
+    """The documents under private names (with the text only if asked for), with size, source key and place in the seeded order; written once. The columns' private names."""
+    shared_folder(docs.sparkSession)
+    own = {c: f"__c{k}" for k, c in enumerate(docs.columns) if c not in ADDED and (text or c != "text")}
+    body = F.coalesce(docs["text"], F.lit(""))
+    th = F.md5(body)
+    at = _number(F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs["doc_id"].cast("string"), F.lit("")), th))
+    size = F.regexp_count(body, F.lit(WORD)).cast("long")
+    held = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in own.items()], size.alias("__size"), F.struct(docs["source"].alias("name")).alias("__key"), th.alias("__th"), at.alias("__at"), docs["doc_id"].alias("__id"))
+    return held.checkpoint(), own
 
 
 def plan(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """source, shard, quota: the blocks that each shard holds of each source; block: their words."""
-    targets, block = _planned(_sized(docs.select("doc_id", "source", "text"), seed), block)
+    targets = _targets(_sized(docs.select("doc_id", "source", "text"), seed, False)[0].withColumnRenamed("__size", "size")).checkpoint()
     seats = _seats(targets, block, shards)
     before = F.lag("seats", 1, 0).over(Window.partitionBy("__key").orderBy("shard"))
     return seats.select(F.col("__key.name").alias("source"), "shard", (F.col("seats") - before).alias("quota"), F.lit(block).alias("block"))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """The documents' columns but text, with size, source_size, target and taken added (input columns of these names are left out)."""
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "text")]
-    sized = _sized(docs.select(*own, "text"), seed)
-    targets, block = _planned(sized, block)
-    quota = _seats(targets, block, shards).groupBy("__key").agg(F.max("seats").alias("quota"))
-    blocks = F.greatest(F.ceil(F.col("source_size") / block), F.lit(1))
-    known = targets.join(quota, "__key", "left").withColumns({"quota": F.coalesce("quota", F.lit(0)), "blocks": blocks, "buckets": F.ceil(F.sqrt("n_docs"))})
-    known = known.withColumn("offset", _number(F.concat_ws(":", F.lit(str(seed)), F.coalesce("__key.name", F.lit("")))) % F.col("blocks")).drop("n_docs", "total")
+def _placed(docs: DataFrame, shards: int, block: int, seed: int, text: bool) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with where they begin and end (__end) in their source's stream, and what is known of the source; the columns' private names."""
+    sized, own = _sized(docs, seed, text)
+    targets = _targets(sized.withColumnRenamed("__size", "size")).checkpoint()
+    seats = _seats(targets, block, shards).groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("shard", "seats"))).alias("list"))
+    # __seats: the seats before each shard, and at last all
+    seats = seats.select("__key", F.concat(F.array(F.lit(0).cast("long")), F.transform("list", lambda x: x["seats"].cast("long"))).alias("__seats"))
+    known = targets.join(seats, "__key", "left").select(
+        "__key", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.ceil(F.sqrt("n_docs")).alias("__buckets"),
+        F.coalesce("__seats", F.array_repeat(F.lit(0).cast("long"), shards + 1)).alias("__seats"), F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).alias("__blocks"),
+    )
+    known = known.withColumns({"__quota": F.element_at("__seats", -1), "__offset": _number(F.concat_ws(":", F.lit(str(seed)), F.coalesce("__key.name", F.lit("")))) % F.col("__blocks")})
     # a table of few sources goes to every task; a larger one is shuffled, and Spark splits a hot source
     few = targets.limit(FEW + 1).count() <= FEW
     x = sized.join(F.broadcast(known) if few else known.checkpoint(), "__key")
-    x = x.withColumn("__bucket", F.floor(F.col("__at") / (1 << 52) * F.col("buckets")))
-    starts = x.groupBy("__key", "__bucket").agg(F.sum("size").alias("words"))
-    starts = starts.select("__key", "__bucket", (F.sum("words").over(Window.partitionBy("__key").orderBy("__bucket")) - F.col("words")).alias("start"))
+    x = x.withColumn("__bucket", F.floor(F.col("__at") / (1 << 52) * F.col("__buckets")))
+    starts = x.groupBy("__key", "__bucket").agg(F.sum("__size").alias("words"))
+    starts = starts.select("__key", "__bucket", (F.sum("words").over(Window.partitionBy("__key").orderBy("__bucket")) - F.col("words")).alias("__start"))
     x = x.join(starts, ["__key", "__bucket"])
-    within = Window.partitionBy("__key", "__bucket").orderBy("__at", "doc_id", "__th", "size").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("end", F.col("start") + F.sum("size").over(within))
-    # words taken of the first w of the stream: whole rounds, the chosen blocks before w, and a part of the block at w
-    chosen = "(({n}) * (quota % blocks) + offset) div blocks"
-    taken = "((quota div blocks) * ({w}) + {b} * ({now}) + (({w}) - {b} * (({w}) div {b})) * (({after}) - ({now})))"
-    upto = lambda w: taken.format(w=w, b=block, now=chosen.format(n=f"({w}) div {block}"), after=chosen.format(n=f"({w}) div {block} + 1"))
-    x = x.withColumn("taken", F.expr(f"{upto('end')} - {upto('end - size')}").cast("long"))
-    return x.select(*own, "size", "source_size", "target", "taken")
+    within = Window.partitionBy("__key", "__bucket").orderBy("__at", "__id", "__th", "__size").rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumn("__end", F.col("__start") + F.sum("__size").over(within)), own
+
+
+def _chosen(k: str) -> str:
+    """How many of the first k blocks are taken once more than the others; the product may have 80 bits."""
+    return f"((cast({k} as decimal(19,0)) * cast(__quota % __blocks as decimal(19,0)) + cast(__offset as decimal(19,0))) div cast(__blocks as decimal(19,0)))"
+
+
+def _upto(w: str, t: str, b: int) -> str:
+    """Words of the first w of the stream that the first t choices take: whole rounds and a part of one, and then the blocks taken once more."""
+    full = "(__quota div __blocks) * __blocks"
+    rounds = f"(least({t}, {full}) div __blocks) * {w} + least({w}, (least({t}, {full}) % __blocks) * {b})"
+    now, after, more = _chosen(f"({w} div {b})"), _chosen(f"({w} div {b} + 1)"), f"greatest({t} - {full}, 0L)"
+    return f"({rounds} + if({now} >= {more}, {more} * {b}, {now} * {b} + ({w} % {b}) * ({after} - {now})))"
+
+
+def mix(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, text: bool = False) -> DataFrame:
+    """The documents' columns (text only if asked for), with size, source_size, target, taken and by_shard (the words that each shard takes) added."""
+    x, own = _placed(docs, shards, block, seed, text)
+    begin = "(__end - __size)"
+    words = lambda t: f"({_upto('__end', t, block)} - {_upto(begin, t, block)})"
+    x = x.withColumn("__before", F.expr(f"transform(__seats, t -> {words('t')})"))
+    x = x.withColumn("__by_shard", F.expr(f"zip_with(slice(__before, 2, {shards}), slice(__before, 1, {shards}), (a, z) -> cast(a - z as bigint))"))
+    total = F.expr("aggregate(__by_shard, 0L, (a, n) -> a + n)")
+    names = {c: F.col(n).alias(c) for c, n in own.items()}
+    return x.select(*names.values(), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), total.alias("taken"), F.col("__by_shard").alias("by_shard"))
+
+
+def spans(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """doc_id, source, shard (from 1), first and end (words of the document, end exclusive): a row for each part of a chosen block, as often as it is chosen."""
+    x = _placed(docs.select("doc_id", "source", "text"), shards, block, seed, False)[0].filter("__size > 0 and __quota > 0")
+    x = x.withColumn("__k", F.explode(F.expr(f"sequence((__end - __size) div {block}, (__end - 1) div {block})")))
+    rounds = f"transform(sequence(0, cast(__quota div __blocks as int)), r -> if(r < __quota div __blocks, r * __blocks + __k, if({_chosen('(__k + 1)')} > {_chosen('__k')}, r * __blocks + {_chosen('__k')}, -1L)))"
+    x = x.withColumn("__choice", F.explode(F.expr(f"filter({rounds}, t -> t >= 0)")))
+    shard = F.expr("size(filter(__seats, t -> t <= __choice))")
+    begin = F.col("__end") - F.col("__size")
+    first, end = F.greatest(F.col("__k") * block, begin) - begin, F.least((F.col("__k") + 1) * block, F.col("__end")) - begin
+    return x.select(F.col("__id").alias("doc_id"), F.col("__key.name").alias("source"), shard.alias("shard"), first.alias("first"), end.alias("end"))
 
 
 def oracle_sql(block: int = BLOCK, seed: int = SEED) -> str:
@@ -135,7 +173,7 @@ levels AS (
   SELECT *, (total - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level FROM weighed
   WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size, total, greatest({block}, CAST(ceil(total / {1 << 30}) AS BIGINT)) AS b,
+  SELECT source, source_size, total, CAST({block} AS HUGEINT) AS b,
     least(cap, coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER () * weight, cap)) AS target
   FROM levels),
 seats AS (

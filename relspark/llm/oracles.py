@@ -86,14 +86,14 @@ cut AS (SELECT *, regexp_split_to_array(m, '{allowed}') AS p, regexp_extract_all
 placed AS (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM cut),
 parts AS (
   SELECT doc_id, class, bits, p[i] AS t, CAST(s + coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(g[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM placed),
-windows AS (SELECT doc_id, class, s, s + i AS at FROM (SELECT *, unnest(range(0, length(t) - {wide - 1})) AS i FROM parts WHERE length(t) >= {wide}) WHERE list_aggregate(string_split(substr(t, i + 1, {wide}), ''), 'entropy') >= bits),
-marked AS (SELECT *, CASE WHEN at <= lag(at) OVER w + {wide} THEN 0 ELSE 1 END AS fresh FROM windows WINDOW w AS (PARTITION BY doc_id, class, s ORDER BY at)),
-numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, class, s ORDER BY at) AS k FROM marked),
+windows AS (SELECT doc_id, class, s, s + i AS place FROM (SELECT *, unnest(range(0, length(t) - {wide - 1})) AS i FROM parts WHERE length(t) >= {wide}) WHERE list_aggregate(string_split(substr(t, i + 1, {wide}), ''), 'entropy') >= bits),
+marked AS (SELECT *, CASE WHEN place <= lag(place) OVER w + {wide} THEN 0 ELSE 1 END AS fresh FROM windows WINDOW w AS (PARTITION BY doc_id, class, s ORDER BY place)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, class, s ORDER BY place) AS k FROM marked),
 spans AS (
   SELECT doc_id, s, 0 AS k, s + length(m) AS e FROM assign_all WHERE length(v) >= 8
   UNION ALL SELECT doc_id, s, 1, s + length(m) FROM access_all WHERE length(m) >= 16
   UNION ALL SELECT doc_id, s, 2, s + length(m) FROM run_all
-  UNION ALL SELECT doc_id, min(at), 3, max(at) + {wide} FROM numbered GROUP BY doc_id, class, s, k),
+  UNION ALL SELECT doc_id, min(place), 3, max(place) + {wide} FROM numbered GROUP BY doc_id, class, s, k),
 named AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || s || ':' || e AS x FROM spans),
 grouped AS (
   SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, string_agg(x, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY s, k, e) AS every

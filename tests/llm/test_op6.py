@@ -39,10 +39,12 @@ def corpus(n=900):
 
 def test_targets_quotas_and_taken(spark):
     rows = corpus()
-    docs = spark.createDataFrame([(*r, 5.0) for r in rows], "doc_id long, text string, source string, target double")
+    docs = spark.createDataFrame([(*r, 5.0, k, "q", "b", 7) for k, r in enumerate(rows)], "doc_id long, text string, source string, target double, end int, quota string, start string, bucket int")
     out = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(7)).collect()
     assert sorted(map(tuple, out), key=str) == sorted(map(tuple, again), key=str) and len(out) == len(rows)
+    assert sorted((r.end, r.quota, r.start, r.bucket) for r in out) == [(k, "q", "b", 7) for k in range(len(rows))]
+    assert mixing.mix(docs, text=True).columns == [*(c for c in docs.columns if c != "target"), *mixing.ADDED]
     sizes = defaultdict(int)
     for _, text, source in rows:
         sizes[source] += len((text or "").split())
@@ -72,6 +74,38 @@ def test_quotas_are_sainte_lague(spark):
         assert dict(seats) == sainte_lague(votes, house * shard // 5)
 
 
+def test_shards_and_spans(spark):
+    """The chosen blocks, listed one by one, are what each shard takes by its quota, and no block is chosen more often than others by two."""
+    rows = corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by_doc, by_source, covered = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in mixing.spans(docs, shards=5).collect():
+        by_doc[r.doc_id, r.source, r.shard] += r.end - r.first
+        by_source[r.source, r.shard] += r.end - r.first
+        for w in range(r.first, r.end):
+            covered[r.doc_id, r.source, w] += 1
+    want, sizes = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(docs, shards=5).collect():
+        assert sum(r.by_shard) == r.taken and len(r.by_shard) == 5
+        sizes[r.source] = r.source_size
+        for k, n in enumerate(r.by_shard, 1):
+            want[r.doc_id, r.source, k] += n
+    assert {k: n for k, n in want.items() if n} == dict(by_doc)
+    quotas = {(r.source, r.shard): r.quota for r in mixing.plan(docs, shards=5).collect()}
+    for key, quota in quotas.items():
+        assert abs(by_source[key] - quota * mixing.BLOCK) < mixing.CAP * mixing.BLOCK, key
+    for source in sizes:
+        times = [covered[d, s, w] for d, text, s in rows if s == source and d != 2 for w in range(len((text or "").split()))]
+        assert not times or max(times) - min(times) <= 1
+
+
+def test_products_beyond_64_bits(spark):
+    """Streams of 2^40 blocks: the choices are spread evenly, without a jump."""
+    known = "select 1099511627776L * 16 __end, 700000000001L __quota, 1099511627776L __blocks, 5L __offset"
+    x = spark.sql(f"select {mixing._upto('__end', '__quota', 16)} a, {mixing._upto('(__end div 2)', '__quota', 16)} b from ({known})").first()
+    assert x.a == 700000000001 * 16 and abs(x.b * 2 - x.a) <= 32
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(empty).count() == 0 and mixing.plan(empty).count() == 0
