@@ -2,9 +2,11 @@
 
 Words are the runs of characters other than white space. For each text a suffix array over its words
 is built by prefix doubling (all texts of a chunk together; suffixes of different texts never tie, and
-a suffix leaves the sort as soon as it is unique). The longest common prefixes of neighbouring suffixes
+a suffix leaves the sort as soon as it is unique), with one array of ranks. The longest common prefixes of neighbouring
+suffixes are found by halving steps on hashes of word runs. They
 give the maximal repeated substrings; their spans are united, and a text fails where the united spans
-cover too large a share of its words or the longest repeat is too long.
+cover too large a share of its words or the longest repeat is too long. Memory is about 100 bytes for each word of a chunk or
+of the longest text.
 
 Defined results: a null or empty text has no words and fails (fewer words than the least). Rows are
 independent, so repeated rows, ties and clashing columns make no difference, and an empty table gives
@@ -34,56 +36,80 @@ _NEWLINE = np.zeros(256, bool)
 _NEWLINE[0x0A] = True
 
 
-def neighbours(words: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of every text, and the words that each suffix in it shares with the one before (0 at the first)."""
-    n = len(words)
-    stop = tk.row_bounds(row, rows)[1:][row] if n else np.zeros(0, np.int64)
-    order = np.lexsort((words, row))
+def _suffixes(words: np.ndarray, row: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The suffix array of every text, one after the other."""
+    n, small = len(words), stop.dtype
+    order = np.lexsort((words, row)).astype(small)
     new = np.ones(n, bool)
-    new[1:] = (words[order][1:] != words[order][:-1]) | (row[order][1:] != row[order][:-1])
-    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = group + 1  # a suffix's rank is the place of the first of its group; 0 stands for the end of the text
-    levels, width = [], 1
+    new[1:] = (words[order[1:]] != words[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+    rank = np.empty(n, small)
+    # a suffix's rank is one more than the place of the first of its group; 0 stands for the end of the text
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=small), 0)) + 1
+    width = 1
     while True:
-        levels.append(rank)
         alone = new.copy()
         alone[:-1] &= new[1:]
-        place = np.flatnonzero(~alone)
+        place = np.flatnonzero(~alone).astype(small)
         if not len(place):
-            break
+            return order
         at = order[place]
-        there = at + width
-        follow = np.where(there < stop[at], rank[np.minimum(there, n - 1)], 0)
-        again = np.lexsort((follow, rank[at]))
-        at, follow, head = at[again], follow[again], rank[at][again]
+        ended = at >= stop[at] - width
+        follow = rank[np.minimum(at + width, n - 1, dtype=np.int64)]
+        follow[ended] = 0
+        # head and what follows, as one number
+        both = rank[at].astype(np.int64) * (n + 1) + follow
+        del follow, ended
+        again = np.argsort(both, kind="stable").astype(small)
+        at, both = at[again], both[again]
+        del again
         order[place] = at
         fresh = np.ones(len(at), bool)
-        fresh[1:] = (follow[1:] != follow[:-1]) | (head[1:] != head[:-1])
+        fresh[1:] = both[1:] != both[:-1]
+        del both
         new[place] = fresh
-        rank = rank.copy()
-        rank[at] = place[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))] + 1
+        rank[at] = place[np.maximum.accumulate(np.where(fresh, np.arange(len(at), dtype=small), 0))] + 1
         width *= 2
-    shared = np.zeros(n, np.int64)
-    if n:
-        left, right = order[:-1].copy(), order[1:].copy()
-        live = np.flatnonzero(levels[0][left] == levels[0][right])
-        left, right, got = left[live], right[live], np.zeros(len(live), np.int64)
-        limit = stop[left]
-        for k in range(len(levels) - 1, -1, -1):
-            a, b = np.minimum(left, n - 1), np.minimum(right, n - 1)
-            ok = (left < limit) & (right < limit) & (levels[k][a] == levels[k][b])
-            step = np.where(ok, 1 << k, 0)
-            left, right, got = left + step, right + step, got + step
-        shared[live + 1] = got
+
+
+def neighbours(words: np.ndarray, row: np.ndarray, rows: int, part: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of every text, and the words that each suffix in it shares with the one before (0 at the first)."""
+    n = len(words)
+    small = np.int32 if n < 1 << 30 else np.int64
+    if not n:
+        return np.zeros(0, small), np.zeros(0, small)
+    stop = tk.row_bounds(row, rows)[1:].astype(small)[row]
+    order = _suffixes(words, row, stop)
+    power = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    np.cumprod(power, dtype=np.uint64, out=power)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(tk.mix(words) * power, dtype=np.uint64, out=total[1:])
+    shared = np.zeros(n, small)
+    for k in range(1, n, part):
+        one, two = order[k - 1 : k + part - 1], order[k : k + part]
+        two = two[: len(one)]
+        one = one[: len(two)]
+        live = np.flatnonzero((words[one] == words[two]) & (row[one] == row[two]))
+        if not len(live):
+            continue
+        left, right = (f(one[live], two[live]).astype(np.int64) for f in (np.minimum, np.maximum))
+        shift, got = power[right - left], np.zeros(len(live), np.int64)
+        most = stop[right] - right  # the later suffix is the shorter one
+        for level in range(int(most.max()).bit_length() - 1, -1, -1):
+            longer = got + (1 << level)
+            ok = longer <= most
+            a, b = np.where(ok, left + longer, left), np.where(ok, right + longer, right)
+            ok &= (total[a] - total[left]) * shift == total[b] - total[right]
+            got = np.where(ok, longer, got)
+        shared[k + live] = got
     return order, shared
 
 
 def _covered(start: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + length, -1)
-    return np.cumsum(edge[:-1]) > 0
+    """Whether each of n words is in one of the spans."""
+    reach = np.zeros(n, start.dtype)
+    np.maximum.at(reach, start, (start + length).astype(start.dtype))
+    return np.maximum.accumulate(reach) > np.arange(n, dtype=start.dtype)
 
 
 def _per_row(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -96,31 +122,40 @@ def measure(data: np.ndarray, offsets: np.ndarray, min_span: int = MIN_SPAN) ->
     start, end, row = tk.word_bounds(data, offsets, tk.WHITE)
     words, n = tk.hash_spans(data, start, end), len(start)
     out = {"n_words": np.bincount(row, minlength=rows)}
-    of_byte = lambda flag: np.diff(np.concatenate([[0], np.cumsum(flag)])[offsets])
-    white = tk.WHITE[data]
-    out["word_chars"] = of_byte(((data & 0xC0) != 0x80) & ~white)
+    full = np.flatnonzero(np.diff(offsets))
+
+    def of_byte(flag: np.ndarray) -> np.ndarray:
+        found = np.zeros(rows, np.int64)
+        if len(full):
+            found[full] = np.add.reduceat(flag.view(np.uint8), offsets[full], dtype=np.int64)
+        return found
+
+    out["word_chars"] = of_byte(((data & 0xC0) != 0x80) & ~tk.WHITE[data])
     out["n_symbols"] = of_byte(_SYMBOL[data])
     s, e, line_row = tk.word_bounds(data, offsets, _NEWLINE)
-    solid = np.concatenate([[0], np.cumsum(~white)])
-    wordy = solid[e] > solid[s]
+    wordy = np.searchsorted(start, e) > np.searchsorted(start, s)
+    del start, end
     line, line_row = tk.hash_spans(data, s, e)[wordy], line_row[wordy]
     by = np.lexsort((line, line_row))
     same = (line[by][1:] == line[by][:-1]) & (line_row[by][1:] == line_row[by][:-1])
     out["n_dup_lines"] = np.bincount(line_row[by][1:][same], minlength=rows) if len(by) else np.zeros(rows, np.int64)
+    del s, e, line, line_row, by, same
+    row = row.astype(np.int32)
     order, shared = neighbours(words, row, rows)
-    most = np.zeros(n, np.int64)
+    del words
+    most = np.zeros(n, shared.dtype)
     if n:
         after = np.append(shared[1:], 0)
         most[order] = np.maximum(shared, after)
-    three = np.flatnonzero(most >= 3)
-    out["n_repeat_words"] = _per_row(_covered(three, np.full(len(three), 3), n), row, rows)
-    long = np.flatnonzero(most >= min_span)
+    three = np.flatnonzero(most >= 3).astype(most.dtype)
+    out["n_repeat_words"] = _per_row(_covered(three, np.full(len(three), 3, most.dtype), n), row, rows)
+    long = np.flatnonzero(most >= min_span).astype(most.dtype)
     out["n_covered_words"] = _per_row(_covered(long, most[long], n), row, rows)
     longest = np.zeros(rows, np.int64)
     np.maximum.at(longest, row, most)
     out["longest_repeat"] = longest
     # a maximal interval of the suffix array begins where the shared length rises to min_span or more
-    rises = (shared >= min_span) & (np.concatenate([[0], shared[:-1]]) < shared) if n else np.zeros(0, bool)
+    rises = (shared >= min_span) & (np.concatenate([shared[:1] * 0, shared[:-1]]) < shared) if n else np.zeros(0, bool)
     out["n_maximal_repeats"] = _per_row(rises, row[order], rows) if n else np.zeros(rows, np.int64)
     return out
 

@@ -1,7 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+
 from relspark.llm import repetition
 
 
@@ -56,3 +59,13 @@ def test_empty_null_ids_and_long(spark):
     words = " ".join(f"w{i}" for i in range(400_000))
     rows = repetition.score(spark.createDataFrame([(None, words), (None, words)], "doc_id long, text string")).collect()
     assert [(r.n_words, r.kept, r.longest_repeat) for r in rows] == [(400_000, True, 0)] * 2
+
+
+def test_memory_on_a_long_repetitive_text():
+    """About 100 bytes a word: ten million words fit in 1.5 GB (here a million in a tenth of it)."""
+    text = np.frombuffer(("a b " * 400_000 + "c d e f g h i j " * 25_000).encode(), np.uint8)
+    tracemalloc.start()
+    x = repetition.measure(text, np.array([0, len(text)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert x["n_words"][0] == 1_000_000 and x["longest_repeat"][0] == 799_998 and peak < 120e6, peak
