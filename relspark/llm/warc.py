@@ -1,12 +1,13 @@
 """WARC archives: a deterministic sharded writer with revisit records, and a reader.
 
 Writing: page ids are cut into ranges of about equal payload bytes; the cuts come from exact sums over bins of
-ids (bins that are too heavy are cut finer), so shards don't depend on partitioning. Records are dealt by shard
+ids (bins that are too heavy are cut finer), so shards don't depend on partitioning. A single id, or the null id, that is too
+heavy for a shard is split by digest and url, and a row that is repeated too often by its copies. Records are dealt by shard
 and sorted by page id. Each task writes its shards' records as gzip members with headers and digests made anew,
 and begins a new file once a file has ROLL compressed bytes. Files are written under temporary names that
 hold the task attempt; the attempts that Spark accepts are listed in a table, their files are renamed to
-final names, and the manifest is written last. A lost executor's files are never listed. Names, order and
-bytes are the same in every run.
+final names, and the manifest is written last; then temporary files, those of failed attempts among them, are removed.
+A lost executor's files are never listed. Names, order and bytes are the same in every run.
 
 Of records with equal payloads of at least LEAST bytes that of the smallest page id is a response and the others
 revisit it. Who revisits whom is found on digests alone; the payloads are shuffled once.
@@ -14,7 +15,8 @@ revisit it. Who revisits whom is found on digests alone; the payloads are shuffl
 Files are opened through pyarrow's file systems (local or shared folders and the object stores and HDFS that it
 knows), records are read as a stream. Defined results: a null html has the empty payload; a null page id comes
 last and is referred to by none but null (a group without any id refers to null); of rows with one page id
-and payload the first by url is the response; a null url is left out of the headers; an empty table gives an empty manifest.
+and payload the first by url (null first) is the response; of rows equal in all three one is; a null url is left out of the
+headers; an empty table gives an empty manifest; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -38,11 +40,11 @@ LEAST, ROLL, DATE = 100, 64 << 20, "2024-01-01T00:00:00Z"
 BINS, FINER = 4096, 64
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "shard int, part int, path string, n_records long, n_bytes long, sha256 string"
-_LAST = (1 << 63) - 1  # stands for a null page id in the order
 
 
-def _record_id(page_id: int | None, digest: str, k: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{page_id}:{digest}:{k}'.encode()).digest()[:16], version=5)}>"
+def _record_id(page_id: int | None, url: str | None, digest: str, k: int) -> str:
+    name = f"{page_id}:{digest}:{k}:{'' if url is None else '=' + url}"
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(name.encode()).digest()[:16], version=5)}>"
 
 
 def _record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -52,14 +54,14 @@ def _record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def _page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, k: int, revisit: bool, refers: int | None) -> bytes:
+def _page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, k: int, revisit: bool, refers: int | None, refers_url: str | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    headers = [("WARC-Record-ID", _record_id(page_id, digest, k)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
+    headers = [("WARC-Record-ID", _record_id(page_id, url, digest, k)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     headers += [("WARC-Target-URI", "".join(c if c > " " else f"%{ord(c):02X}" for c in url))] if url else []
     headers += [("X-Page-Id", str(page_id))] if page_id is not None else []
     if not revisit:
         return _record("response", headers, http + payload)
-    headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id(refers, digest, 0))]
+    headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id(refers, refers_url, digest, 0))]
     headers += [("X-Refers-To-Page-Id", str(refers))] if refers is not None else []
     return _record("revisit", headers, http)
 
@@ -75,7 +77,7 @@ class _File:
         self.out, self.size, self.digest = self.store.open_output_stream(f"{base}/{self.path}", compression=None), 0, hashlib.sha256()
         name = f"{shard:06d}-{part:04d}.warc.gz"
         info = f"software: relspark\r\nformat: WARC File Format 1.1\r\nfilename: {name}\r\n".encode()
-        self.put(_record("warcinfo", [("WARC-Record-ID", _record_id(None, name, 0)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], info))
+        self.put(_record("warcinfo", [("WARC-Record-ID", _record_id(None, None, name, 0)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], info))
 
     def put(self, member: bytes) -> None:
         self.out.write(member)
@@ -90,24 +92,30 @@ class _File:
 
 
 def _write(source: Iterator[pa.RecordBatch], root: str, roll: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by shard, page id, digest; of equal ones a mark that the payload is a revisit comes first."""
-    file, last, seen, marked, refers = None, None, 0, False, None
+    """Rows come by shard, page id, digest, url; of equal ones a mark that the payload is a revisit comes first. A row of copy >= 0 stands for so many copies, from that number on."""
+    file, last, seen, marked, refers = None, None, 0, False, (None, None)
     for part in source:
-        columns = [part.column(c) for c in ("shard", "page_id", "url", "html", "digest", "mark", "first")]
-        for k in range(part.num_rows):
-            shard, page_id, url, html, digest, mark, first = (c[k].as_py() for c in columns)
-            if (shard, page_id, digest) != last:
-                last, seen, marked, refers = (shard, page_id, digest), 0, False, page_id
+        columns = [part.column(c) for c in ("shard", "page_id", "url", "html", "digest", "mark", "first", "first_url", "copy", "copies")]
+        for i in range(part.num_rows):
+            shard, page_id, url, html, digest, mark, first, first_url, copy, copies = (c[i].as_py() for c in columns)
+            if (shard, page_id, digest, url) != last:
+                last, seen, marked, refers = (shard, page_id, digest, url), 0, False, (page_id, url)
             if mark:
-                marked, refers = True, first
+                marked, refers = True, (first, first_url)
                 continue
-            if file and (file.shard != shard or file.size >= roll):
+            if file and file.shard != shard:
                 yield file.row()
-                file = _File(root, shard, file.part + 1 if file.shard == shard else 0)
-            file = file or _File(root, shard, 0)
+                file = None
             payload = (html or "").encode()
-            file.put(_page_record(page_id, url, payload, digest, seen, len(payload) >= least and (marked or seen > 0), refers))
-            file.n, seen = file.n + 1, seen + 1
+            begin = copy if copy >= 0 else seen
+            for k in range(begin, begin + copies):
+                if file and file.size >= roll:
+                    yield file.row()
+                    file = _File(root, shard, file.part + 1)
+                file = file or _File(root, shard, 0)
+                file.put(_page_record(page_id, url, payload, digest, k, len(payload) >= least and (marked or k > 0), *refers))
+                file.n += 1
+            seen += copies
     if file:
         yield file.row()
 
@@ -126,7 +134,7 @@ def _commit(source: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBa
 
 
 def _slot(edges: np.ndarray) -> Column:
-    """The range of ids that a page id falls in."""
+    """The range of ids that a page id falls in; the null id has a range of its own after the last."""
 
     @F.pandas_udf("int")
     def slot(ids):  # noqa: ANN001, ANN202
@@ -134,32 +142,50 @@ def _slot(edges: np.ndarray) -> Column:
 
         return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), "right").astype(np.int32) - 1)
 
-    return slot(F.coalesce(F.col("page_id"), F.lit(_LAST)))
+    return F.when(F.col("page_id").isNull(), F.lit(len(edges))).otherwise(slot(F.coalesce("page_id", F.lit(0))))
 
 
-def _cuts(slim: DataFrame, shard_bytes: int | None) -> np.ndarray:
-    """First ids of the shards. At most BINS + FINER * total / shard_bytes sums reach the driver, whatever the ids."""
-    low, high, total = slim.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("n") + 500)).first()
-    target = shard_bytes or min(max((total or 0) // 2048, 1 << 20), 256 << 20)
-    if low is None:
-        return np.array([-(1 << 63)])
-    edges = np.array(sorted({low + (high - low + 1) * k // BINS for k in range(BINS)} | {high + 1, _LAST}), dtype=object)
+def _shards(slim: DataFrame, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First ids of ranges, and of each range, and at last of the null id, the first shard and the number of shards that it is split into.
+
+    At most BINS + FINER * total / target sums reach the driver at a time, whatever the ids.
+    """
+    low, high = slim.agg(F.min("page_id"), F.max("page_id")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    edges = sorted({low + (high - low + 1) * k // BINS for k in range(BINS)})
     while True:
-        sums = np.zeros(len(edges))
-        for slot, n in slim.groupBy(_slot(edges.astype(np.int64)).alias("slot")).agg(F.sum(F.col("n") + 500)).collect():
+        sums = [0] * (len(edges) + 1)
+        for slot, n in slim.groupBy(_slot(np.array(edges, np.int64)).alias("slot")).agg(F.sum(F.col("n") + 500)).collect():
             sums[slot] = n
-        heavy = [k for k in np.flatnonzero(sums > target) if k + 1 < len(edges) and edges[k + 1] - edges[k] > 1]
+        following = [*edges[1:], high + 1]
+        heavy = [k for k, e in enumerate(edges) if sums[k] > target and following[k] - e > 1]
         if not heavy:
             break
-        more = {edges[k] + (edges[k + 1] - edges[k]) * j // FINER for k in heavy for j in range(FINER)}
-        edges = np.array(sorted(set(edges.tolist()) | more), dtype=object)
-    cuts, load = [-(1 << 63)], 0.0
-    for edge, n in zip(edges, sums, strict=True):
-        if load and load + n > target:
-            cuts.append(edge)
-            load = 0.0
+        edges = sorted({*edges, *(edges[k] + (following[k] - edges[k]) * j // FINER for k in heavy for j in range(FINER))})
+    first, parts, load, shard = [], [], 0, 0
+    for n in sums:
+        split = -(-n // target) if n > target else 1
+        if load and (load + n > target or split > 1):
+            shard, load = shard + 1, 0
+        first.append(shard)
+        parts.append(split)
         load += n
-    return np.array(cuts, dtype=np.int64)
+        if split > 1:
+            shard, load = shard + split, 0
+    return np.array(edges, np.int64), np.array(first), np.array(parts)
+
+
+def _dealt(edges: np.ndarray, first: np.ndarray, parts: np.ndarray) -> Column:
+    """A row's shard."""
+
+    @F.pandas_udf("int")
+    def shard(slots, hashes):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        k = slots.to_numpy(np.int64)
+        return pd.Series((first[k] + hashes.to_numpy(np.int64) % parts[k]).astype(np.int32))
+
+    return shard(_slot(edges), F.xxhash64("digest", "url", "copy"))
 
 
 def write(pages: DataFrame, root: str, least: int = LEAST, roll: int = ROLL, shard_bytes: int | None = None) -> DataFrame:
@@ -168,19 +194,43 @@ def write(pages: DataFrame, root: str, least: int = LEAST, roll: int = ROLL, sha
     shared_folder(spark)
     digest = F.sha2(F.encode(F.coalesce("html", F.lit("")), "utf-8"), 256).alias("digest")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", digest)
-    slim = rows.select("page_id", "digest", F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).checkpoint()
-    large = slim.filter(F.col("n") >= least)
-    groups = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("held")).filter("held > 1").select("digest", "first").checkpoint()
-    marks = large.join(groups, "digest").filter("page_id is null and first is not null or page_id != first").select("page_id", "digest", "first").distinct()
+    slim = rows.select("page_id", "url", "digest", F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).checkpoint()
+    total = slim.agg(F.sum(F.col("n") + 500)).first()[0] or 0
+    target = shard_bytes or min(max(total // 2048, 1 << 20), 256 << 20)
+    last = F.coalesce(F.col("page_id"), F.lit((1 << 63) - 1))  # null comes last; it yields to the same number by the next field
+    groups = slim.filter(F.col("n") >= least).groupBy("digest").agg(F.min(F.struct(last.alias("at"), F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("one"), F.count("*").alias("held"))
+    groups = groups.filter("held > 1").select("digest", F.col("one.page_id").alias("first"), F.col("one.url").alias("first_url")).checkpoint()
+    marks = slim.filter(F.col("n") >= least).join(groups, "digest").filter("not (page_id <=> first and url <=> first_url)")
+    marks = marks.select("page_id", "url", "digest", "first", "first_url").distinct()
+    # rows repeated beyond a shard's bytes: at most total / target, so their table has a bound; one of each is kept, for ranges of copies
+    key = ["page_id", "url", "digest"]
+    often = slim.groupBy(key).agg(F.count("*").alias("held"), F.sum(F.col("n") + 500).alias("bytes")).filter(F.col("bytes") > target)
+    often = often.select(*[F.col(c).alias(f"o_{c}") for c in key], "held", F.expr(f"cast(least(held, ceil(bytes / {target})) as int)").alias("ranges")).checkpoint()
+    same = F.expr("page_id <=> o_page_id and url <=> o_url and digest = o_digest")
+    plain = lambda x: x.select(*key, "html", F.lit(-1).cast("long").alias("copy"), F.lit(1).cast("long").alias("copies"))
+    dealt = plain(rows)
+    if not often.isEmpty():
+        held = rows.join(F.broadcast(often), same).dropDuplicates(key).withColumn("r", F.explode(F.expr("sequence(0, ranges - 1)")))
+        begin = lambda r: f"cast(held as bigint) * ({r}) div ranges"
+        ranges = held.select(*key, "html", F.expr(begin("r")).alias("copy"), F.expr(f"{begin('r + 1')} - {begin('r')}").alias("copies"))
+        dealt = plain(rows.join(F.broadcast(often), same, "left_anti")).union(ranges)
     blank = F.lit(None).cast("string")
-    both = rows.select("page_id", "url", "html", "digest", F.lit(0).alias("mark"), F.lit(None).cast("long").alias("first"))
-    both = both.union(marks.select("page_id", blank, blank, "digest", F.lit(1), "first"))
-    dealt = both.withColumn("shard", _slot(_cuts(slim, shard_bytes))).repartition("shard")
-    dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", F.col("mark").desc(), "url")
+    both = dealt.select(*key, "html", "copy", "copies", F.lit(0).alias("mark"), F.lit(None).cast("long").alias("first"), blank.alias("first_url"))
+    noted = marks.withColumn("copy", F.lit(-1).cast("long"))
+    if not often.isEmpty():  # a mark goes to every shard of its row's copies
+        ranged = noted.join(F.broadcast(often), same, "left").withColumn("r", F.explode(F.expr("sequence(0, coalesce(ranges, 1) - 1)")))
+        noted = ranged.withColumn("copy", F.expr(f"coalesce({begin('r')}, -1L)"))
+    both = both.union(noted.select(*key, blank, "copy", F.lit(0).cast("long"), F.lit(1), "first", "first_url"))
+    dealt = both.withColumn("shard", _dealt(*_shards(slim, target))).repartition("shard")
+    dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "url", F.col("mark").desc(), "copy")
     dealt.mapInArrow(partial(_write, root=root, roll=roll, least=least), _MANIFEST).write.parquet(f"{root}/_attempts")
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     listed = spark.read.schema(_MANIFEST).parquet(f"{root}/_attempts").repartition(wide, "shard", "part")
     listed.mapInArrow(partial(_commit, root=root), _MANIFEST).write.parquet(f"{root}/_manifest")
+    store, base = fs.FileSystem.from_uri(root)
+    for name in ("_temporary", "_attempts"):
+        if store.get_file_info(f"{base}/{name}").type == fs.FileType.Directory:
+            store.delete_dir(f"{base}/{name}")
     return spark.read.schema(_MANIFEST).parquet(f"{root}/_manifest")
 
 

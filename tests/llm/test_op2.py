@@ -1,4 +1,5 @@
 import hashlib
+import io
 import random
 import tempfile
 
@@ -25,7 +26,7 @@ def corpus():
     rng = random.Random(3)
     bodies = ["é" * 50, "é" * 49, "x" * 99, "x" * 100, "", None, *("b" * rng.randrange(50, 3000) for _ in range(20))]
     rows = [(k, f"http://h/{k}", rng.choice(bodies)) for k in range(300)]
-    rows += [(5, "http://a\r\nX: y", "x" * 100), (5, "http://b", "x" * 100), (None, None, "x" * 100), (None, None, "n" * 200), (None, "u", "n" * 200), (-(1 << 62), "u", "far"), (1 << 62, "u", "far" * 90)]
+    rows += [(5, "http://a\r\nX: y", "x" * 100), (5, "http://b", "x" * 100), (None, None, "x" * 100), (None, None, "n" * 200), (None, "u", "n" * 200), (-(1 << 63), "u", "far"), ((1 << 63) - 1, "u", "far" * 90), (None, "z", "far" * 90)]
     return rows
 
 
@@ -55,6 +56,29 @@ def test_round_trip_and_determinism(spark):
     assert files[0] == files[1]
 
 
+def test_hot_ids_are_split(spark):
+    """Null ids, one id and one row that hold most of the bytes go to several shards; the same bytes in every run."""
+    rng = random.Random(9)
+    rows = [(None, f"u{k}", "n" * rng.randrange(90, 120)) for k in range(120)] + [(7, f"u{k}", f"{k}" * 60) for k in range(120)]
+    rows += [(9, "v", "same" * 100)] * 150 + [(3, None, "same" * 100), (1, "w", "x"), (None, None, None)] + [(1, "w", "x")] * 60
+    files = []
+    for part in (2, 5):
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}/w"
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(part)
+        manifest = warc.write(pages, root, shard_bytes=20_000).collect()
+        got = warc.read(spark, root).collect()
+        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute(rows)
+        shards = {i: {r.file.split("-")[0] for r in got if r.page_id == i} for i in (None, 7, 9, 1)}
+        assert min(map(len, shards.values())) > 1, shards
+        files.append(listing(root))
+        store, base = fs.FileSystem.from_uri(root)
+        assert not {x.base_name for x in store.get_file_info(fs.FileSelector(base))} & {"_temporary", "_attempts"}
+        assert sum(r.n_records for r in manifest) == len(rows)
+    assert files[0] == files[1]
+    ids = [x.split(b"\r\n")[0] for f in files[0].values() for m in warc.members(io.BytesIO(f)) for x in m.split(b"WARC-Record-ID: ")[1:]]
+    assert len(ids) == len(set(ids)) == len(rows) + len(files[0])
+
+
 def test_records_are_valid(spark):
     root = f"file://{tempfile.mkdtemp(prefix='spark-')}/w"
     pages = spark.createDataFrame([(1, "http://a/", "p" * 300), (2, "http://b/", "p" * 300)], "page_id long, url string, html string")
