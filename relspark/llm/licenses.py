@@ -1,16 +1,19 @@
 """Licence scans with DataFrame functions only.
 
-Units of a text are its lines, its paragraphs of several lines, and the whole text where it has several
-paragraphs. A unit's words (runs of a-z and 0-9 after lower-casing) give the set of its word bigrams; the Dice
+Units of a text are its lines, its paragraphs of several lines, the whole text where it has several paragraphs, and windows:
+for each template, runs of as many words as it has, beginning at every word whose number is a multiple of a tenth of that
+(of every word for short templates). So a licence is found above code and within prose.
+A unit's words (runs of a-z and 0-9 after lower-casing) give the set of its word bigrams; the Dice
 coefficient with a template's set is 2 * common / (sum of sizes). A coefficient of at least t bounds a unit's size to
 [t / (2 - t), (2 - t) / t] times the template's, so units and templates meet in an equi-join on the unit's size: a
-template is listed under each size that it allows. A unit that reaches t with any template also has one of a few
-words (markers, worked out from the templates' bigrams and t); texts and units without any are left out first.
-The table of templates is fixed, so its broadcast has a bound that doesn't depend on the data.
+template is listed under each size that it allows. Windows meet their template in an equi-join on bigrams: only windows
+that hold at least t / (2 - t) of its bigrams, which that bound asks for, are looked at further. A unit that reaches t with any
+template also has one of a few words (markers, worked out from the templates' bigrams and t); texts and units without any
+are left out first. The table of templates is fixed, so its broadcasts have a bound that doesn't depend on the data.
 
 Defined results: a null or empty text and a unit of one word give no row; ties go to the licence first in
-order of name; rows that
-repeat a doc_id and text are one document; an empty table gives none.
+order of name; of the windows of a document and licence the best gives a row, of equal ones the first; rows that
+repeat a doc_id and text are one document; an empty table gives none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relspark.llm.components import shared_folder
 from relspark.llm.license_texts import templates
 
 THRESHOLD = 0.8
@@ -65,42 +69,80 @@ def markers(threshold: float = THRESHOLD) -> list[str]:
     return sorted(chosen)
 
 
-def _listed(threshold: float) -> list[tuple[int, str, list[str]]]:
-    """(size of unit, licence, bigrams) of all that may reach the threshold."""
+def _listed(threshold: float) -> list[tuple[int, int]]:
+    """(size of unit, number of template) of all that may reach the threshold."""
     out = []
-    for licence, grams in _distinct():
+    for k, (_, grams) in enumerate(_distinct()):
         high = math.floor((2 - threshold) / threshold * len(grams) + 1e-9)
-        out += [(size, licence, grams) for size in range(_least(len(grams), threshold), high + 1)]
+        out += [(size, k) for size in range(_least(len(grams), threshold), high + 1)]
     return out
 
 
-def _grams(unit: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(unit), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.array_distinct(F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull()))
+def _windowed(threshold: float) -> list[tuple[str, int, str, int, int, int, int]]:
+    """(bigram, number, licence, words, step of windows, bigrams, least in common) of each bigram of each template."""
+    words = {(licence, tuple(bigrams(text))): len(re.findall("[a-z0-9]+", text.lower())) for licence, text in sorted(templates())}
+    out = []
+    for k, (licence, grams) in enumerate(_distinct()):
+        wide = words[licence, tuple(grams)]
+        out += [(g, k, licence, wide, max(1, wide // 10), len(grams), _least(len(grams), threshold)) for g in grams]
+    return out
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def _pairs(words: Column) -> Column:
+    """The bigrams of words, in order."""
+    return F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
+
+
+def _windows(texts: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, unit, place, license, dice of each document's and licence's best window. texts: doc_id, th, text."""
+    spark, key = texts.sparkSession, ["doc_id", "th", "template", "start"]
+    table = spark.createDataFrame(_windowed(threshold), "gram string, template int, license string, wide int, step int, size int, least int")
+    words = texts.select("doc_id", "th", _words(F.col("text")).alias("words"))
+    placed = words.select("doc_id", "th", F.size("words").alias("n"), F.posexplode(_pairs(F.col("words"))).alias("p", "gram")).join(F.broadcast(table), "gram")
+    # the windows that hold words p and p + 1
+    first = F.expr("cast(ceil(greatest(p + 2 - wide, 0) / step) as int) * step")
+    met = placed.withColumns({"low": first, "high": F.expr("least(p, n - wide)")}).filter("low <= high").withColumn("start", F.explode(F.expr("sequence(low, high, step)")))
+    common = met.groupBy(*key, "license", "wide", "size", "least", "gram").agg(F.lit(1).alias("one"))
+    common = common.groupBy(*key, "license", "wide", "size", "least").agg(F.count("*").alias("common")).filter("common >= least")
+    there = words.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "words")
+    found = common.join(there, common["doc_id"].eqNullSafe(there["d"]) & (common["th"] == there["t"]))
+    held = F.size(F.array_distinct(_pairs(F.slice("words", F.col("start") + 1, F.col("wide")))))
+    scored = found.withColumn("dice", 2.0 * F.col("common") / (held + F.col("size"))).filter(F.col("dice") >= threshold)
+    best = scored.groupBy("doc_id", "th", "license").agg(F.min(F.struct((-F.col("dice")).alias("d"), "start")).alias("one"))
+    return best.select("doc_id", F.lit("window").alias("unit"), F.col("one.start").alias("place"), "license", F.round(-F.col("one.d"), 9).alias("dice"))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, unit (line, paragraph, text), place (from 0 among its kind), license, dice: the best licence of each unit that reaches the threshold."""
-    listed = docs.sparkSession.createDataFrame(_listed(threshold), "size int, license string, template array<string>")
+    """doc_id, unit (line, paragraph, text, window), place (from 0 among its kind; of a window its first word), license, dice: the best licence of each unit that reaches the threshold."""
+    spark = docs.sparkSession
+    shared_folder(spark)
+    sizes = spark.createDataFrame(_listed(threshold), "size int, template int")
+    known = spark.createDataFrame([(k, licence, grams) for k, (licence, grams) in enumerate(_distinct())], "template int, license string, theirs array<string>")
     marked = lambda body: F.lower(body).rlike(rf"(?<![a-z0-9])(?:{'|'.join(markers(threshold))})(?![a-z0-9])")
-    text = docs.filter(F.col("text").isNotNull() & marked("text")).select("doc_id", "text", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"), F.split("text", r"\n[ \t\r]*\n").alias("parts"))
+    texts = docs.filter(F.col("text").isNotNull() & marked("text")).select("doc_id", "text", F.xxhash64("text").alias("th")).dropDuplicates(["doc_id", "th"]).checkpoint()
+    text = texts.select("*", F.split("text", "\n").alias("lines"), F.split("text", r"\n[ \t\r]*\n").alias("parts"))
     unit = lambda kind, array: F.transform(array, lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("place"), x.alias("body")))
     several = F.filter(unit("paragraph", "parts"), lambda u: u["body"].contains("\n"))
     whole = F.when(F.size("parts") > 1, F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("place"), F.col("text").alias("body")))).otherwise(F.array().cast("array<struct<unit:string,place:int,body:string>>"))
     units = text.select("doc_id", "th", F.inline(F.concat(unit("line", "lines"), several, whole)))
-    grams = units.filter(marked("body")).select("doc_id", "th", "unit", "place", _grams(F.col("body")).alias("grams"))
-    met = grams.withColumn("size", F.size("grams")).join(F.broadcast(listed), "size")
-    common = F.size(F.array_intersect("grams", "template"))
-    scored = met.withColumn("dice", 2.0 * common / (F.col("size") + F.size("template"))).filter(F.col("dice") >= threshold)
+    grams = units.filter(marked("body")).select("doc_id", "th", "unit", "place", F.array_distinct(_pairs(_words(F.col("body")))).alias("grams"))
+    met = grams.withColumn("size", F.size("grams")).join(F.broadcast(sizes), "size").join(F.broadcast(known), "template")
+    common = F.size(F.array_intersect("grams", "theirs"))
+    scored = met.withColumn("dice", 2.0 * common / (F.col("size") + F.size("theirs"))).filter(F.col("dice") >= threshold)
     one = scored.groupBy("doc_id", "th", "unit", "place").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("one"))
-    return one.select("doc_id", "unit", "place", F.col("one.license").alias("license"), F.round(-F.col("one.d"), 9).alias("dice"))
+    one = one.select("doc_id", "unit", "place", F.col("one.license").alias("license"), F.round(-F.col("one.d"), 9).alias("dice"))
+    return one.union(_windows(texts, threshold))
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL of the same rows over the view documents: every unit against every template, without pruning."""
-    quoted = ", ".join(f"('{licence}', [{', '.join(repr(g) for g in grams)}])" for licence, grams in _distinct())
+    """DuckDB SQL of the same rows over the view documents: every unit against every template that it shares a bigram with, without pruning."""
+    windowed = ", ".join(f"({k}, '{licence}', {wide}, {step}, {size}, {g!r})" for g, k, licence, wide, step, size, _ in _windowed(threshold))
     return f"""
-WITH templates(license, template) AS (VALUES {quoted}),
+WITH bigrams(k, license, wide, step, size, g) AS (VALUES {windowed}),
 texts AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, string_split_regex(text, '\\n[ \\t\\r]*\\n') AS parts FROM documents WHERE text IS NOT NULL AND text <> ''),
 units AS (
   SELECT doc_id, text, 'line' AS unit, i - 1 AS place, lines[i] AS body FROM (SELECT doc_id, text, lines, unnest(range(1, len(lines) + 1)) AS i FROM texts)
@@ -108,9 +150,21 @@ units AS (
   UNION ALL SELECT doc_id, text, 'text', 0, text FROM texts WHERE len(parts) > 1),
 worded AS (SELECT *, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM units),
 grams AS (SELECT doc_id, text, unit, place, list_distinct([w[k] || ' ' || w[k + 1] for k in range(1, len(w))]) AS g FROM worded WHERE len(w) > 1),
-scored AS (
-  SELECT doc_id, md5(text) AS th, unit, place, license, 2.0 * len(list_intersect(g, template)) / (len(g) + len(template)) AS dice
-  FROM grams, templates WHERE 2.0 * least(len(g), len(template)) / (len(g) + len(template)) >= {threshold})
+shared AS (
+  SELECT doc_id, th, unit, place, license, n, size, count(*) AS common FROM (SELECT doc_id, md5(text) AS th, unit, place, len(g) AS n, unnest(g) AS g FROM grams) JOIN bigrams USING (g)
+  GROUP BY doc_id, th, unit, place, k, license, n, size),
+scored AS (SELECT doc_id, th, unit, place, license, 2.0 * common / (n + size) AS dice FROM shared),
+whole AS (SELECT DISTINCT doc_id, md5(text) AS th, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM texts),
+pairs AS (SELECT doc_id, th, n, unnest(g) AS g, unnest(p) AS first FROM (SELECT doc_id, th, len(w) AS n, range(0, len(w) - 1) AS p, [w[j] || ' ' || w[j + 1] for j in range(1, len(w))] AS g FROM whole)),
+met AS (
+  SELECT doc_id, th, k, license, wide, size, g, unnest(range(CAST(ceil(greatest(first + 2 - wide, 0) / step) AS BIGINT) * step, least(first, n - wide) + 1, step)) AS s
+  FROM pairs JOIN bigrams USING (g)),
+windows AS (SELECT doc_id, th, k, license, wide, size, s, count(DISTINCT g) AS common FROM met GROUP BY ALL HAVING count(DISTINCT g) >= {threshold} / 2 * size),
+measured AS (
+  SELECT windows.doc_id, windows.th, license, s, 2.0 * common / (len(list_distinct([w[j] || ' ' || w[j + 1] for j in range(s + 1, s + wide)])) + size) AS dice
+  FROM windows JOIN whole ON windows.th = whole.th AND windows.doc_id IS NOT DISTINCT FROM whole.doc_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, th, license ORDER BY dice DESC, s) AS r FROM measured WHERE dice >= {threshold})
 SELECT doc_id, unit, CAST(place AS INTEGER) AS place, license, round(CAST(dice AS DOUBLE), 9) AS dice
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, th, unit, place ORDER BY dice DESC, license) AS k FROM scored WHERE dice >= {threshold})
-WHERE k = 1"""
+WHERE k = 1
+UNION ALL SELECT doc_id, 'window', CAST(s AS INTEGER), license, round(CAST(dice AS DOUBLE), 9) FROM best WHERE r = 1"""

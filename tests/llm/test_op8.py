@@ -19,6 +19,16 @@ def brute(rows):
             best = min(((-2 * len(g & set(t)) / (len(g) + len(t)), name) for name, t in table if g), default=(0, ""))
             if -best[0] >= licenses.THRESHOLD:
                 out.add((doc, unit, place, best[1], round(-best[0], 9)))
+        words = re.findall("[a-z0-9]+", text.lower())
+        best = {}
+        for name, body in templates():
+            wide, t = len(re.findall("[a-z0-9]+", body.lower())), set(licenses.bigrams(body))
+            for s in range(0, len(words) - wide + 1, max(1, wide // 10)):
+                g = {f"{a} {b}" for a, b in zip(words[s : s + wide], words[s + 1 : s + wide], strict=False)}
+                dice = 2 * len(g & t) / (len(g) + len(t))
+                if dice >= licenses.THRESHOLD:
+                    best[name] = min(best.get(name, (0, 0)), (-dice, s))
+        out |= {(doc, "window", s, name, round(-d, 9)) for name, (d, s) in best.items()}
     return sorted(out, key=str)
 
 
@@ -43,3 +53,21 @@ def test_whole_notices_are_found(spark):
     found = {(r.doc_id, r.license) for r in licenses.scan(docs).collect()}
     assert set(enumerate(NOTICES)) <= found
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_licences_above_code_and_within_prose(spark):
+    code = "\n".join(f"def f{k}(x):\n    return x + {k}" for k in range(80))
+    prose = " ".join(f"word{k % 37} and thing{k}" for k in range(150))
+    texts = {}
+    for k, (name, text) in enumerate(NOTICES.items()):
+        words = text.split()
+        lines = "\n".join("# " + " ".join(words[i : i + 11]) for i in range(0, len(words), 11))
+        texts[3 * k] = (name, f"# Copyright 2020 A\n#\n{lines}\n\n{code}")
+        texts[3 * k + 1] = (name, f"{prose} {text} {prose}")
+        texts[3 * k + 2] = (name, f"Copyright 2023 Example\n{text[: len(text) // 2]}\n\n{text[len(text) // 2 :]}\n\n{prose}\n\n{prose}")
+    texts[1000] = ("MIT", "Copyright 2023 Example Foo Inc Released under the MIT License")
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in texts.items()], "doc_id long, text string")
+    found = {(r.doc_id, r.license) for r in licenses.scan(docs).collect()}
+    assert {(k, n) for k, (n, _) in texts.items()} <= found
+    plain = spark.createDataFrame([(1, code), (2, prose)], "doc_id long, text string")
+    assert licenses.scan(plain).count() == 0
