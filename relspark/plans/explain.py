@@ -1,4 +1,4 @@
-"""Plans as text and as lists of physical operators, and the classical rule for join algorithms."""
+"""Plans as text and as lists of physical operators."""
 
 from __future__ import annotations
 
@@ -22,17 +22,3 @@ def summary(df: DataFrame) -> str:
     """The operators that matter to a reader, indented, one per line."""
     shown = [n for n in physical_nodes(df) if n not in ("AdaptiveSparkPlan", "ColumnarToRow", "InputAdapter", "WholeStageCodegen")]
     return "\n".join(f"{'  ' * k}└─ {n}" for k, n in enumerate(shown))
-
-
-def explain_strategy(left_rows: int, right_rows: int, indexed: bool = False) -> str:
-    """The algorithm a rule by sizes would name, as a label; execution is left to Spark.
-
-    An index on the right goes first; beyond 50 rows on a side, sides within a factor of 3 sort and merge and
-    others hash; small sides loop.
-    """
-    if indexed:
-        return "index"
-    small, large = sorted((left_rows, right_rows))
-    if large <= 50:
-        return "nested_loop"
-    return "sort_merge" if small > 0 and large / small <= 3.0 else "hash"

@@ -2,7 +2,8 @@
 
 A file is a header of two unsigned 32-bit ints (rows, columns) and the rows, each as many signed 32-bit ints;
 little-endian. Columns are A1, A2, ... A path is a file or a folder of such files, local (shared by all
-executors) or an URI that pyarrow's file systems know. Files are read in ranges of rows, one task each; a write
+executors) or an URI that pyarrow's file systems know. Files are read in ranges of rows, one task each; options firstRow and
+rows read only so many rows from a place on (files in order of name). A write
 makes a folder with one file per task, so no data passes through the driver, and a frame of one partition gives one file.
 """
 
@@ -56,14 +57,16 @@ class _Rows(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType, split_bytes: int) -> None:
-        self.path, self.schema, self.split_bytes = path, schema, split_bytes
+    def __init__(self, path: str, schema: StructType, split_bytes: int, first: int, rows: int | None) -> None:
+        self.path, self.schema, self.split_bytes, self.first, self.stop = path, schema, split_bytes, first, None if rows is None else first + rows
 
     def partitions(self) -> list[_Rows]:
-        out = []
+        out, before = [], 0
         for path, rows, columns in _files(self.path):
             step = max(1, self.split_bytes // (4 * max(columns, 1)))
-            out += [_Rows(path, k, min(step, rows - k), columns) for k in range(0, rows, step)]
+            low, high = max(0, self.first - before), rows if self.stop is None else min(rows, self.stop - before)
+            out += [_Rows(path, k, min(step, high - k), columns) for k in range(low, high, step)]
+            before += rows
         return out or [_Rows("", 0, 0, 0)]
 
     def read(self, partition: _Rows) -> Iterator:
@@ -160,7 +163,8 @@ class DatSource(DataSource):
         return StructType([StructField(f"A{k + 1}", IntegerType(), False) for k in range(columns.pop())])
 
     def reader(self, schema: StructType) -> _Reader:
-        return _Reader(self.options["path"], schema, int(self.options.get("splitbytes", SPLIT_BYTES)))
+        rows = self.options.get("rows")
+        return _Reader(self.options["path"], schema, int(self.options.get("splitbytes", SPLIT_BYTES)), int(self.options.get("firstrow", 0)), None if rows is None else int(rows))
 
     def writer(self, schema: StructType, overwrite: bool) -> _Writer:
         return _Writer(self.options["path"], schema, overwrite)

@@ -8,7 +8,7 @@ import pytest
 
 from relspark.operators import aggregate, compare_columns, conjunction, join, join_all, project, relational, restrict
 from relspark.operators.relational import STRATEGIES
-from relspark.plans.explain import explain_strategy, physical_nodes, plan_text, summary
+from relspark.plans.explain import physical_nodes, plan_text, summary
 from relspark.sources import random_table, table_of
 
 
@@ -91,8 +91,3 @@ def test_pushdown(spark):
     text = plan_text(found)
     assert "GreaterThan(c_acctbal,5000.0)" in text and "GreaterThan(o_totalprice,1000.0)" in text
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>" in text
-
-
-def test_strategy_rule():
-    assert [explain_strategy(*x) for x in ((10000, 1000), (5000, 3000), (200, 100), (50, 50), (60, 0))] == ["hash", "sort_merge", "sort_merge", "nested_loop", "hash"]
-    assert explain_strategy(1, 1, True) == "index"

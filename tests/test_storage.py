@@ -6,9 +6,10 @@ import struct
 import pytest
 
 from relspark.operators import aggregate, get_with_index, index_scan, join, project, restrict
-from relspark.plans.explain import physical_nodes
+from relspark.plans.explain import physical_nodes, plan_text
 from relspark.plans.layouts import AdaptiveHashLayout, BlockIndex, HashLayout, RangeLayout, index_join
-from relspark.sources import get_block, get_tuple, random_table, register, table_of
+from relspark.shared import shared_folder
+from relspark.sources import get_block, get_dat_block, get_dat_tuple, get_tuple, random_table, register, rows_between, seeded_table, table_of
 from relspark.streaming import stream_to
 
 
@@ -55,6 +56,19 @@ def test_tables_by_place(spark, tmp_path):
     t = spark.read.parquet(str(tmp_path / "t"))
     assert rows(get_tuple(t, 3)) == [(3, 30)] and rows(get_tuple(t, 99)) == []
     assert rows(get_block(t, 2, 4)) == [(8, 80), (9, 90), (10, 100)]
+    many = table_of(spark, [(k, 10 * k) for k in range(23)], 2).repartitionByRange(4, "A1").sortWithinPartitions("A1")
+    many.write.parquet(str(tmp_path / "many"))
+    several = spark.read.parquet(str(tmp_path / "many"))
+    assert len(several.inputFiles()) > 2
+    for start, stop in ((0, 5), (4, 19), (20, 99), (50, 60), (7, 7)):
+        assert rows(rows_between(several, start, stop)) == [(k, 10 * k) for k in range(start, min(stop, 23))]
+    assert rows(get_tuple(several, 17)) == [(17, 170)] and rows(get_block(several, 5, 4)) == [(20, 200), (21, 210), (22, 220)]
+    register(spark)
+    many.write.format("dat").mode("append").save(str(tmp_path / "d"))
+    dat = str(tmp_path / "d")
+    assert rows(get_dat_tuple(spark, dat, 17)) == [(17, 170)] and rows(get_dat_tuple(spark, dat, 99)) == []
+    assert rows(get_dat_block(spark, dat, 1, 10)) == [(k, 10 * k) for k in range(10, 20)] and rows(get_dat_block(spark, dat, 0)) == [(k, 10 * k) for k in range(4)]
+    assert rows(seeded_table(spark, 50, (9, 4))) == rows(seeded_table(spark, 50, (9, 4)).repartition(3)) and seeded_table(spark, 500, (9,)).distinct().count() == 500
     r = random_table(spark, 3, 7, 500, seed=1)
     assert r.count() == 500 and rows(r) == rows(random_table(spark, 3, 7, 500, seed=1)) and {v for x in r.collect() for v in x} == set(range(7))
 
@@ -87,6 +101,33 @@ def test_points_and_ranges(layouts):
         assert rows(project(index_scan(layout, 2), ["A2"])) == [(300,)]
 
 
+def test_reopening_and_entries(spark, tmp_path):
+    data = [(k % 9, k) for k in range(100)]
+    df = table_of(spark, data, 2)
+    for kind in (HashLayout(4, path=str(tmp_path / "h")), AdaptiveHashLayout(10, path=str(tmp_path / "a"))):
+        kind.build(df, "A1")
+        again = type(kind).open(spark.newSession(), kind.path)
+        assert again.buckets == kind.buckets and again.column == "A1" and rows(index_scan(again, 4)) == [x for x in sorted(data) if x[0] == 4]
+    df.coalesce(1).write.parquet(str(tmp_path / "t"))
+    made = BlockIndex(str(tmp_path / "t"), str(tmp_path / "b"), 10).build(df, "A1")
+    index = BlockIndex.open(spark, str(tmp_path / "t"), str(tmp_path / "b"), "A1", 10)
+    assert rows(index_scan(index, 3, high=4)) == rows(index_scan(made, 3, high=4)) == [x for x in sorted(data) if 3 <= x[0] <= 4]
+    want = sorted({(k % 9, k // 10) for k in range(100)})
+    assert [tuple(r) for r in index.scan_range(5, 9).select("key", "block").collect()] == want[5:9] and index.get_entry(2).first().block == want[2][1]
+
+
+def test_block_index_reads_the_files_found(spark, tmp_path):
+    table_of(spark, [(k, k) for k in range(4000)], 2).repartitionByRange(8, "A1").write.parquet(str(tmp_path / "t"))
+    index = BlockIndex(str(tmp_path / "t"), str(tmp_path / "b"), 64).build(spark.read.parquet(str(tmp_path / "t")), "A1")
+    some = index_scan(index, 100, high=120)
+    assert len(some.inputFiles()) == 1 and some.count() == 21 and "PushedFilters: [IsNotNull(A1), GreaterThanOrEqual(A1,100)" in plan_text(some)
+    assert index_scan(index, 9999).count() == 0
+
+
+def test_shared_folder(spark):
+    assert shared_folder(spark) == "file://" + spark.sparkContext.getCheckpointDir().removeprefix("file:") and "/shared/" in shared_folder(spark)
+
+
 def test_unbuilt():
     for layout in (HashLayout(), AdaptiveHashLayout(), RangeLayout("/x"), BlockIndex("/x", "/y")):
         with pytest.raises(RuntimeError):
