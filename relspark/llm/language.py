@@ -3,15 +3,16 @@
 The model holds, for each language, the frequencies of byte trigrams within words (ASCII letters in lower
 case; digits and other ASCII separate words), counted over all training documents and smoothed. A word's
 likelihood under a language is the product over its trigrams. For each document expectation-maximisation
-estimates the proportions of the languages from its words' likelihoods. Then the document's language set is
-selected: with the likeliest k languages for k = 1, 2, ... (up to all, until no larger k can reach a higher value), proportions are estimated anew, and the k with the
+estimates the proportions of the languages from its words' likelihoods, until they settle. Then the document's language set is
+selected: with the likeliest k languages for k = 1, 2, ... (up to all, until no larger k can reach a higher value),
+proportions are estimated anew, and the k with the
 highest log-likelihood less PENALTY * k * log(words + 1) holds. The prediction is the language with the largest
-proportion in that set, the score its proportion.
+proportion in that set, the score its proportion; mixture lists the set with its proportions.
 
 The model's size is bounded by the number of languages times 2^BITS, whatever the corpus. Defined results: a
 null text or a text without a letter is `und` with score 0; ties go to the language first in order; a text
 whose only letters form no word cannot occur (a letter is part of a word); without training documents all
-is `und`. Repeated rows each get their row; a null doc_id is not held out.
+is `und` with an empty mixture. Repeated rows each get their row; a null doc_id is not held out; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from relspark.llm import textkit as tk
 
-BITS, SMOOTH, ROUNDS, PENALTY = 15, 0.5, 12, 2.0
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_languages int"
+BITS, SMOOTH, ROUNDS, SETTLED, PENALTY = 15, 0.5, 12, 1e-3, 2.0
+SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_languages int, mixture string"
 _SEP = tk.PLAIN.copy()
 _SEP[0x30:0x3A] = True
 _ASCII_LETTER = ~_SEP[:128]
@@ -82,21 +83,32 @@ def train(docs: DataFrame) -> Model:
 
 
 def _em(likely: np.ndarray, row: np.ndarray, start: np.ndarray, words: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions after so many rounds, and the log-likelihood under them. likely: words x languages; share: texts x languages."""
+    """Proportions after so many rounds, and the log-likelihood under them. likely: words x languages; share: texts x languages.
+
+    A text whose proportions move by less than SETTLED in a round is done; the others go on without it.
+    """
+    share, live, part, of, begin, n = share.copy(), np.arange(len(words)), likely, row, start, words
     for _ in range(rounds):
-        part = likely * share[row]
-        part /= part.sum(1, keepdims=True)
-        share = np.add.reduceat(part, start, axis=0) / words[:, None]
+        odds = part * share[live][of]
+        odds /= odds.sum(1, keepdims=True)
+        new = np.add.reduceat(odds, begin, axis=0) / n[:, None]
+        moving = np.abs(new - share[live]).max(1) >= SETTLED
+        share[live] = new
+        if not moving.any():
+            break
+        if n[moving].sum() < 0.7 * n.sum():
+            part, live, n = part[moving[of]], live[moving], n[moving]
+            of, begin = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
     return share, np.add.reduceat(np.log((likely * share[row]).sum(1), dtype=np.float64), start)
 
 
-def infer(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: the place of its language in model.names (-1: none), its proportion, the number of languages."""
+def infer(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: the place of its language in model.names (-1: none), its proportion, the number of languages, and all languages' proportions."""
     rows, n = len(offsets) - 1, len(model.names)
-    best, score, count = np.full(rows, -1), np.zeros(rows), np.zeros(rows, np.int32)
+    best, score, count, mixture = np.full(rows, -1), np.zeros(rows), np.zeros(rows, np.int32), np.zeros((rows, n), np.float32)
     codes, at, row, _ = _trigrams(data, offsets)
     if not len(row) or not n:
-        return best, score, count
+        return best, score, count, mixture
     log = np.stack([np.add.reduceat(model.log[k][codes], at[:-1]) for k in range(n)], 1)
     top = log.max(1, keepdims=True)
     likely = np.exp(log - top) + np.float32(1e-30)  # a factor common to a word's languages changes nothing
@@ -125,8 +137,8 @@ def infer(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarr
         lead, at = some.argmax(1)[better], still[better]
         value[at] = fit[better]
         best[full[at]], score[full[at]] = lead, some[better, lead]
-        count[full[at]] = k
-    return best, np.clip(score, 0, 1), count
+        count[full[at]], mixture[full[at]] = k, some[better]
+    return best, np.clip(score, 0, 1), count, mixture
 
 
 def lettered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -142,15 +154,16 @@ def _predict(source: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
     model: Model = shared.value
     names = np.array([*model.names, "und"], dtype=object)
     for part, data, offsets in tk.batches(source):
-        best, score, count = infer(data, offsets, model)
+        best, score, count, mixture = infer(data, offsets, model)
         none = ~lettered(data, offsets)
         best[none], score[none], count[none] = -1, 0, 0
-        columns = [part.column("doc_id"), part.column("held_out"), pa.array(names[best], pa.string()), pa.array(score), pa.array(count)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "n_languages"])
+        listed = [",".join(f"{names[j]}:{x[j]:.3f}" for j in np.argsort(-x, kind="stable")[:k]) for x, k in zip(mixture, count, strict=True)]
+        columns = [part.column("doc_id"), part.column("held_out"), pa.array(names[best], pa.string()), pa.array(score), pa.array(count), pa.array(listed, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "n_languages", "mixture"])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out (passed on), lang_pred, score and n_languages of each document."""
+    """doc_id, held_out (passed on), lang_pred, score, n_languages and mixture (language:proportion, largest first) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(partial(_predict, shared=shared), SCHEMA)
 

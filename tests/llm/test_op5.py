@@ -14,6 +14,7 @@ def test_held_out_accuracy(spark):
     rows = language.identify(docs).collect()
     assert len(rows) == len(truth)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
+    assert all(r.mixture.startswith(f"{r.lang_pred}:") and len(r.mixture.split(",")) == r.n_languages for r in rows if r.lang_pred != "und")
     held = [r for r in rows if r.held_out]
     right = sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held)
     print("held-out accuracy", right)
@@ -26,8 +27,9 @@ def test_mixture_proportions(spark):
     text = {r.lang: r.text.split()[:300] for r in docs.collect()}
     mixed = " ".join(text["en"][:90] + text["de"][:30]).encode()
     data = np.frombuffer(mixed, np.uint8)
-    best, score, count = language.infer(data, np.array([0, len(data)]), model)
+    best, score, count, mixture = language.infer(data, np.array([0, len(data)]), model)
     assert model.names[best[0]] == "en" and 0.65 < score[0] < 0.85 and count[0] == 2
+    assert mixture[0].argmax() == best[0] and abs(mixture[0].sum() - 1) < 1e-5 and (mixture[0] > 0).sum() == 2
 
 
 def test_four_languages(spark):
@@ -36,7 +38,7 @@ def test_four_languages(spark):
     model = language.train(docs)
     text = {r.lang: r.text.split()[:90] for r in docs.collect()}
     data = np.frombuffer(" ".join(w for name in model.names for w in text[name]).encode(), np.uint8)
-    best, score, count = language.infer(data, np.array([0, len(data)]), model)
+    best, score, count, mixture = language.infer(data, np.array([0, len(data)]), model)
     assert len(model.names) == 4 and count[0] == 4 and 0.2 < score[0] < 0.32
 
 
