@@ -24,3 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     context.setCheckpointDir(named)
     return shared_folder(spark)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of any file system that Spark knows; one that isn't there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ import pytest
 from relspark.operators import aggregate, get_with_index, index_scan, join, project, restrict
 from relspark.plans.explain import physical_nodes, plan_text
 from relspark.plans.layouts import AdaptiveHashLayout, BlockIndex, HashLayout, RangeLayout, index_join
-from relspark.shared import shared_folder
+from relspark.shared import delete_folder, shared_folder
 from relspark.sources import get_block, get_dat_block, get_dat_tuple, get_tuple, random_table, register, rows_between, seeded_table, table_of
 from relspark.streaming import stream_to
 
@@ -126,6 +126,11 @@ def test_block_index_reads_the_files_found(spark, tmp_path):
 
 def test_shared_folder(spark):
     assert shared_folder(spark) == "file://" + spark.sparkContext.getCheckpointDir().removeprefix("file:") and "/shared/" in shared_folder(spark)
+    spark.range(3).write.parquet(path := f"{shared_folder(spark)}/some")
+    delete_folder(spark, path)
+    delete_folder(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
 
 
 def test_unbuilt():
