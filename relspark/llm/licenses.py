@@ -26,7 +26,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.components import shared_folder
+from relspark.shared import shared_folder
 from relspark.llm.license_texts import templates
 
 THRESHOLD = 0.8
@@ -101,7 +101,9 @@ def _windows(texts: DataFrame, threshold: float) -> DataFrame:
     """doc_id, unit, place, license, dice of each document's and licence's best window. texts: doc_id, th, text."""
     spark, key = texts.sparkSession, ["doc_id", "th", "template", "start"]
     table = spark.createDataFrame(_windowed(threshold), "gram string, template int, license string, wide int, step int, size int, least int")
-    words = texts.select("doc_id", "th", _words(F.col("text")).alias("words"))
+    # dealt by document: the many rows below are grouped where they are made
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = texts.repartition(wide, "doc_id", "th").select("doc_id", "th", _words(F.col("text")).alias("words"))
     placed = words.select("doc_id", "th", F.size("words").alias("n"), F.posexplode(_pairs(F.col("words"))).alias("p", "gram")).join(F.broadcast(table), "gram")
     # the windows that hold words p and p + 1
     first = F.expr("cast(ceil(greatest(p + 2 - wide, 0) / step) as int) * step")

@@ -1,8 +1,10 @@
 import random
 import tempfile
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from relspark.llm import linededup
+from relspark.llm import linededup, mixing
 from tests.llm import test_op3, test_op4, test_op7, test_op10
 
 
@@ -50,20 +52,32 @@ def test_stages_against_brute_force(spark):
     assert not ids & {200, 201, 202, 210, 211, 212, 220, 221, 222, 230} and len(ids) > 50
 
 
+CLASHING = ["cut", "moved", "n_lines", "n_deleted", "end", "start", "quota", "blocks", "shard", "label", "fp", "th", "id", "spans", "items", "n_words", "c0", "kept", "bucket", "offset", "name"]
+
+
 def test_columns_and_empty(spark):
+    """Columns of names that the operators use inside pass through, and every stage takes an empty table, nulls and repeated rows."""
     rows, items = fixture()
     folder = tempfile.mkdtemp(prefix="spark-")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    docs = spark.createDataFrame(rows[:20], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = [(None, None, None, None, None), (None, "", "en", None, 0), (7, None, "en", "s", None), (7, None, "en", "s", None), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows[:20] + odd, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce("doc_id", F.lit(0))) for c in CLASHING})
     for given in (docs, docs.limit(0)):
-        for name, stage in corpus_pipeline.STAGES[:-1]:
+        for name, stage in corpus_pipeline.STAGES:
             found = stage(spark, given, folder)
-            assert found.dtypes == given.dtypes, name
-            assert (found.count() == 0) == (given is not docs)
+            assert found.dtypes == given.dtypes + [x for x in found.dtypes if x[0] in mixing.ADDED], name
+            got = found.collect()
+            assert (not got) == (given is not docs), name
+            assert all(r[c] == f"{c}-{r.doc_id or 0}" for r in got for c in CLASHING), name
+            if given is docs:
+                nulls = sum(r.text is None for r in got)
+                assert nulls == {"quality": 0}.get(name, 3), name
+                assert sum(r.doc_id == rows[3][0] for r in got) == (1 if name == "near_dup" else 3), name
 
 
 def test_emptied_documents_go(spark):
     passage = "\n".join(f"line {i} of words that stand in two documents" for i in range(5))
     docs = spark.createDataFrame([(1, passage, 1), (2, passage, 1), (3, "", 0)], "doc_id long, text string, n_chars int")
     assert sorted(r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, "").collect()) == [1, 3]
-    assert linededup.MIN_BLOCK_WORDS == 5
+    assert linededup.MIN_BLOCK_WORDS == 20
