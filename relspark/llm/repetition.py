@@ -93,22 +93,34 @@ def neighbours(words: np.ndarray, row: np.ndarray, rows: int, part: int = 1 << 1
         if not len(live):
             continue
         left, right = (f(one[live], two[live]).astype(np.int64) for f in (np.minimum, np.maximum))
-        shift, got = power[right - left], np.zeros(len(live), np.int64)
         most = stop[right] - right  # the later suffix is the shorter one
-        for level in range(int(most.max()).bit_length() - 1, -1, -1):
-            longer = got + (1 << level)
-            ok = longer <= most
-            a, b = np.where(ok, left + longer, left), np.where(ok, right + longer, right)
-            ok &= (total[a] - total[left]) * shift == total[b] - total[right]
-            got = np.where(ok, longer, got)
-        shared[k + live] = got
+
+        def alike(a: np.ndarray, b: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+            return (total[a + n] - total[a]) * power[b - a] == total[b + n] - total[b]
+
+        def descend(some: np.ndarray, levels: int) -> np.ndarray:
+            a, b, limit, got = left[some], right[some], most[some], np.zeros(len(some), np.int64)
+            for level in range(levels - 1, -1, -1):
+                longer = got + (1 << level)
+                ok = longer <= limit
+                ok[ok] = alike(a[ok], b[ok], longer[ok])
+                got[ok] = longer[ok]
+            return got
+
+        # most suffixes share fewer than four words
+        four = most >= 4
+        four[four] = alike(left[four], right[four], 4)
+        few, many = np.flatnonzero(~four), np.flatnonzero(four)
+        shared[k + live[few]] = descend(few, 2)
+        if len(many):
+            shared[k + live[many]] = descend(many, int(most[many].max()).bit_length())
     return order, shared
 
 
 def _covered(start: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
-    """Whether each of n words is in one of the spans."""
+    """Whether each of n words is in one of the spans; no two begin at the same word."""
     reach = np.zeros(n, start.dtype)
-    np.maximum.at(reach, start, (start + length).astype(start.dtype))
+    reach[start] = start + length
     return np.maximum.accumulate(reach) > np.arange(n, dtype=start.dtype)
 
 
@@ -152,7 +164,9 @@ def measure(data: np.ndarray, offsets: np.ndarray, min_span: int = MIN_SPAN) ->
     long = np.flatnonzero(most >= min_span).astype(most.dtype)
     out["n_covered_words"] = _per_row(_covered(long, most[long], n), row, rows)
     longest = np.zeros(rows, np.int64)
-    np.maximum.at(longest, row, most)
+    if n:
+        begin = np.flatnonzero(np.diff(row, prepend=-1))
+        longest[row[begin]] = np.maximum.reduceat(most, begin)
     out["longest_repeat"] = longest
     # a maximal interval of the suffix array begins where the shared length rises to min_span or more
     rises = (shared >= min_span) & (np.concatenate([shared[:1] * 0, shared[:-1]]) < shared) if n else np.zeros(0, bool)
