@@ -14,8 +14,9 @@
 Streams are cut by two-level prefix sums (documents in buckets, buckets in sources), so a source with a third of
 all rows is spread over as many tasks as its size asks for.
 
-The tables of sources (weights, targets, seats) are ranked as wholes: they have a row for each source, or for each seat in
-doubt, not for each document.
+The tables of sources (weights, targets, seats) have a row for each source, or for each seat in doubt, not for each document.
+Up to FEW sources they are ranked by plain windows, and go to the tasks as a table; more are ranked by ranges, and joined by a
+shuffle. The rows are the same.
 
 Defined results: a null or empty text has size 0 and nothing is taken of it; a null source is a source of its
 own and comes last; repeated rows are separate documents. An empty table gives an empty result. Other columns pass
@@ -33,38 +34,57 @@ CAP, SHARDS, BLOCK, SEED, FEW = 3, 16, 16, 20240601, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _targets(sized: DataFrame) -> DataFrame:
-    """__key, source_size, n_docs, target, total: one row per source; the windows run over sources, not documents."""
-    x = sized.groupBy("__key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    name, everything = F.col("__key.name").asc_nulls_last(), Window.partitionBy()
-    x = x.withColumn("weight", ((F.row_number().over(Window.orderBy(name)) - 1) % 3 + 1).cast("double"))
-    x = x.withColumns({"cap": (CAP * F.col("source_size")).cast("double"), "total": F.sum("source_size").over(everything)})
+def _before(x: DataFrame, group: list[str], order: list[Column], totals: dict[str, Column], small: bool) -> DataFrame:
+    """Adds, under the totals' names, the sums over the rows before each row, in the order given, within its group.
+
+    Few rows are one window for each group. More are dealt by ranges of the order, and sums run over the ranges
+    and then within each, so that no task holds a whole group.
+    """
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    run = lambda c, w: F.coalesce(F.sum(c).over(upto(w)), F.lit(0))
+    if small:
+        return x.withColumns({n: run(c, Window.partitionBy(*group).orderBy(*order)) for n, c in totals.items()})
+    dealt = x.repartitionByRange(*map(F.col, group), *order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    sums = dealt.groupBy(*group, "__part").agg(*[F.sum(c).alias(f"__sum_{n}") for n, c in totals.items()])
+    first = sums.select(*group, "__part", *[run(F.col(f"__sum_{n}"), Window.partitionBy(*group).orderBy("__part")).alias(f"__first_{n}") for n in totals])
+    within = Window.partitionBy(*group, "__part").orderBy(*order)
+    out = dealt.join(first, [*group, "__part"]).withColumns({n: F.col(f"__first_{n}") + run(c, within) for n, c in totals.items()})
+    return out.drop("__part", *[f"__first_{n}" for n in totals])
+
+
+def _targets(sized: DataFrame, few: int) -> tuple[DataFrame, bool]:
+    """__key, source_size, n_docs, target, total: one row per source; and whether there are few sources."""
+    x = sized.groupBy("__key").agg(F.sum("__size").alias("source_size"), F.count("*").alias("n_docs")).checkpoint()
+    small = x.limit(few + 1).count() <= few
+    name, none = F.col("__key.name").asc_nulls_last(), []
+    x = _before(x, none, [name], {"place": F.lit(1)}, small)
+    x = x.withColumns({"weight": (F.col("place") % 3 + 1).cast("double"), "cap": (CAP * F.col("source_size")).cast("double")})
+    total, weights = x.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
     # sources fill up in the order of cap / weight; with those before it full, a source and all after it share by weight
-    before = Window.orderBy(F.col("cap") / F.col("weight"), name).rowsBetween(Window.unboundedPreceding, -1)
-    rest = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    x = x.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / rest)
+    x = _before(x, none, [(F.col("cap") / F.col("weight")).asc(), name], {"full": F.col("cap"), "gone": F.col("weight")}, small)
+    x = x.withColumn("level", (F.lit(total) - F.col("full")) / (F.lit(weights) - F.col("gone"))).checkpoint()
     # the level falls from the first source that does not fill up at it, whose level holds
-    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
-    target = F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap")))
-    return x.select("__key", "source_size", "n_docs", target.alias("target"), "total")
+    level = x.agg(F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level")))).first()[0]
+    target = F.least("cap", F.coalesce(F.lit(level).cast("double") * F.col("weight"), F.col("cap")))
+    return x.select("__key", "source_size", "n_docs", target.alias("target"), F.lit(total).cast("long").alias("total")), small
 
 
-def _seats(targets: DataFrame, block: int, shards: int) -> DataFrame:
+def _seats(targets: DataFrame, block: int, shards: int, small: bool) -> DataFrame:
     """__key, shard, seats up to the shard's end, by Sainte-Lague."""
-    house = Window.partitionBy("shard")
     x = targets.filter("target > 0").withColumns({"most": CAP * F.ceil(F.col("source_size") / block), "votes": F.col("target") / block})
+    votes, sources = x.agg(F.sum("votes"), F.count("*")).first()
     x = x.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards))))
     x = x.withColumn("house", F.floor(F.round(F.col("total") / block) * F.col("shard") / shards))
-    x = x.withColumns({"share": F.col("votes") * F.col("house") / F.sum("votes").over(house), "slack": (F.count("*").over(house) + 2) / F.greatest(F.col("house"), F.lit(1))})
+    x = x.withColumns({"share": F.col("votes") * F.col("house") / F.lit(votes or 1.0), "slack": (F.lit(sources) + 2) / F.greatest(F.col("house"), F.lit(1))})
     # with S sources and H seats the divisor is within (S + 2) / H of the even one; seats are ranked in that range only
     low = F.greatest(F.lit(0), F.floor(F.col("share") * (1 - F.col("slack"))) - 1)
     high = F.ceil(F.col("share") * (1 + 2 * F.col("slack"))) + 2
     x = x.withColumns({"low": F.least(low, "most"), "high": F.least(high, "most")})
     seats = x.filter("high > low").withColumn("seat", F.explode(F.sequence(F.col("low") + 1, F.col("high"))))
-    best = house.orderBy((F.col("votes") / (2 * F.col("seat") - 1)).desc(), F.col("__key.name").asc_nulls_last(), "seat")
+    seats = seats.select("__key", "shard", "seat", (F.col("votes") / (2 * F.col("seat") - 1)).alias("quotient"))
+    placed = _before(seats, ["shard"], [F.col("quotient").desc(), F.col("__key.name").asc_nulls_last(), F.col("seat").asc()], {"place": F.lit(1)}, small)
     left = x.groupBy("shard").agg((F.first("house") - F.sum("low")).alias("left"))
-    won = seats.withColumn("place", F.row_number().over(best)).join(left, "shard").filter("place <= left")
-    won = won.groupBy("__key", "shard").agg(F.count("*").alias("won"))
+    won = placed.join(left, "shard").filter("place < left").groupBy("__key", "shard").agg(F.count("*").alias("won"))
     return x.join(won, ["__key", "shard"], "left").select("__key", "shard", (F.col("low") + F.coalesce("won", F.lit(0))).alias("seats"))
 
 
@@ -88,19 +108,19 @@ def _sized(docs: DataFrame, seed: int, text: bool) -> tuple[DataFrame, dict[str,
     return held.checkpoint(), own
 
 
-def plan(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def plan(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, few: int = FEW) -> DataFrame:
     """source, shard, quota: the blocks that each shard holds of each source; block: their words."""
-    targets = _targets(_sized(docs.select("doc_id", "source", "text"), seed, False)[0].withColumnRenamed("__size", "size")).checkpoint()
-    seats = _seats(targets, block, shards)
+    targets, small = _targets(_sized(docs.select("doc_id", "source", "text"), seed, False)[0], few)
+    seats = _seats(targets, block, shards, small)
     before = F.lag("seats", 1, 0).over(Window.partitionBy("__key").orderBy("shard"))
     return seats.select(F.col("__key.name").alias("source"), "shard", (F.col("seats") - before).alias("quota"), F.lit(block).alias("block"))
 
 
-def _placed(docs: DataFrame, shards: int, block: int, seed: int, text: bool) -> tuple[DataFrame, dict[str, str]]:
+def _placed(docs: DataFrame, shards: int, block: int, seed: int, text: bool, few: int = FEW) -> tuple[DataFrame, dict[str, str]]:
     """The documents with where they begin and end (__end) in their source's stream, and what is known of the source; the columns' private names."""
     sized, own = _sized(docs, seed, text)
-    targets = _targets(sized.withColumnRenamed("__size", "size")).checkpoint()
-    seats = _seats(targets, block, shards).groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("shard", "seats"))).alias("list"))
+    targets, small = _targets(sized, few)
+    seats = _seats(targets, block, shards, small).groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("shard", "seats"))).alias("list"))
     # __seats: the seats before each shard, and at last all
     seats = seats.select("__key", F.concat(F.array(F.lit(0).cast("long")), F.transform("list", lambda x: x["seats"].cast("long"))).alias("__seats"))
     known = targets.join(seats, "__key", "left").select(
@@ -109,8 +129,7 @@ def _placed(docs: DataFrame, shards: int, block: int, seed: int, text: bool) ->
     )
     known = known.withColumns({"__quota": F.element_at("__seats", -1), "__offset": _number(F.concat_ws(":", F.lit(str(seed)), F.coalesce("__key.name", F.lit("")))) % F.col("__blocks")})
     # a table of few sources goes to every task; a larger one is shuffled, and Spark splits a hot source
-    few = targets.limit(FEW + 1).count() <= FEW
-    x = sized.join(F.broadcast(known) if few else known.checkpoint(), "__key")
+    x = sized.join(F.broadcast(known) if small else known.checkpoint(), "__key")
     x = x.withColumn("__bucket", F.floor(F.col("__at") / (1 << 52) * F.col("__buckets")))
     starts = x.groupBy("__key", "__bucket").agg(F.sum("__size").alias("words"))
     starts = starts.select("__key", "__bucket", (F.sum("words").over(Window.partitionBy("__key").orderBy("__bucket")) - F.col("words")).alias("__start"))
@@ -132,9 +151,9 @@ def _upto(w: str, t: str, b: int) -> str:
     return f"({rounds} + if({now} >= {more}, {more} * {b}, {now} * {b} + ({w} % {b}) * ({after} - {now})))"
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, text: bool = False) -> DataFrame:
+def mix(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, text: bool = False, few: int = FEW) -> DataFrame:
     """The documents' columns (text only if asked for), with size, source_size, target, taken and by_shard (the words that each shard takes) added."""
-    x, own = _placed(docs, shards, block, seed, text)
+    x, own = _placed(docs, shards, block, seed, text, few)
     begin = "(__end - __size)"
     words = lambda t: f"({_upto('__end', t, block)} - {_upto(begin, t, block)})"
     x = x.withColumn("__before", F.expr(f"transform(__seats, t -> {words('t')})"))

@@ -99,6 +99,24 @@ def test_shards_and_spans(spark):
         assert not times or max(times) - min(times) <= 1
 
 
+def test_many_sources(spark):
+    """Ranking by ranges gives the same rows as plain windows, for many sources and for few."""
+    rng = random.Random(6)
+    rows = [(k, "w " * rng.choice([0, 1, 7, 40, 300]), f"host{rng.randrange(400)}" if k % 3 else "hot") for k in range(1500)] + [(9999, "a b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for few in (0, mixing.FEW):
+        found = sorted(map(tuple, mixing.mix(docs, few=few).collect()), key=str)
+        quotas = sorted(map(tuple, mixing.plan(docs, few=few).collect()), key=str)
+        if few == 0:
+            want = found, quotas
+    assert (found, quotas) == want and len(found) == len(rows)
+    sizes = defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    goal = targets(sizes)
+    assert all(abs(r[4] - goal[r[1]]) < 1e-6 * max(1, r[4]) for r in found)
+
+
 def test_products_beyond_64_bits(spark):
     """Streams of 2^40 blocks: the choices are spread evenly, without a jump."""
     known = "select 1099511627776L * 16 __end, 700000000001L __quota, 1099511627776L __blocks, 5L __offset"
