@@ -244,7 +244,8 @@ def candidates(classes: DataFrame, bands: int, least: int, local: int = LOCAL) -
     for level in range(AGREE):
         sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("fp").alias("head")).filter("size > 1").checkpoint()
         small = rows.join(sizes.filter(F.col("size") <= local).select("key"), "key").join(sketches, "fp").select("key", "fp", "sketch")
-        found = small.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_connected, least=least), pair)
+        # dealt by a hash of the key: by the key itself, Spark may take the exchange for done by the join before, and read that one unshuffled
+        found = small.repartition(F.xxhash64("key", F.lit(level))).sortWithinPartitions("key", "fp").mapInArrow(partial(_connected, least=least), pair)
         links = (found if links is None else links.union(found)).distinct().checkpoint()
         large = sizes.filter(F.col("size") > local).select("key", "head")
         if large.isEmpty():

@@ -87,6 +87,28 @@ def test_near_copies_in_a_large_family(spark, local):
     assert got == {k: (k % 1000, int(k % 10 == 0)) for k, _ in rows}
 
 
+def test_recall_in_families_over_several_partitions(spark):
+    """Six families of texts a third alike, with a near copy of every fifth text: all are found, and nothing else."""
+    rng = random.Random(3)
+    make = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for size in (70, 85, 100, 70, 85, 100):
+        shared = make(size)
+        for k in range(1500):
+            base = shared + make(70)
+            rows.append((len(rows), " ".join(base)))
+            if k % 5 == 0:
+                copy = list(base)
+                for _ in range(rng.choice([1, 2, 2, 3])):
+                    copy[rng.randrange(len(copy))] = make(1)[0]
+                rows.append((len(rows), " ".join(copy)))
+                a, b = grams(rows[-2][1]), grams(rows[-1][1])
+                if len(a & b) >= 0.8 * len(a | b):
+                    want |= {rows[-2][0]: 1, rows[-1][0]: 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in jaccard.join(docs).collect() if r.n_links} == want and len(want) > 3000
+
+
 @pytest.mark.parametrize("block", [jaccard.BLOCK, 60])
 def test_null_ids_in_a_class(spark, block):
     """A text without an id links like others and names a class only if the class has no other."""
