@@ -202,26 +202,26 @@ def write(pages: DataFrame, root: str, least: int = LEAST, roll: int = ROLL, sha
     groups = groups.filter("held > 1").select("digest", F.col("one.page_id").alias("first"), F.col("one.url").alias("first_url")).checkpoint()
     marks = slim.filter(F.col("n") >= least).join(groups, "digest").filter("not (page_id <=> first and url <=> first_url)")
     marks = marks.select("page_id", "url", "digest", "first", "first_url").distinct()
-    # rows repeated beyond a shard's bytes: at most total / target, so their table has a bound; one of each is kept, for ranges of copies
+    edges, first, parts = _shards(slim, target)
     key = ["page_id", "url", "digest"]
-    often = slim.groupBy(key).agg(F.count("*").alias("held"), F.sum(F.col("n") + 500).alias("bytes")).filter(F.col("bytes") > target)
-    often = often.select(*[F.col(c).alias(f"o_{c}") for c in key], "held", F.expr(f"cast(least(held, ceil(bytes / {target})) as int)").alias("ranges")).checkpoint()
-    same = F.expr("page_id <=> o_page_id and url <=> o_url and digest = o_digest")
     plain = lambda x: x.select(*key, "html", F.lit(-1).cast("long").alias("copy"), F.lit(1).cast("long").alias("copies"))
-    dealt = plain(rows)
-    if not often.isEmpty():
-        held = rows.join(F.broadcast(often), same).dropDuplicates(key).withColumn("r", F.explode(F.expr("sequence(0, ranges - 1)")))
+    dealt, noted = plain(rows), marks.withColumn("copy", F.lit(-1).cast("long"))
+    if (parts > 1).any():  # an id is too heavy for a shard; perhaps a row is
+        # rows repeated beyond a shard's bytes: at most total / target, so their table has a bound; one of each is kept, for ranges of copies
+        often = slim.groupBy(key).agg(F.count("*").alias("held"), F.sum(F.col("n") + 500).alias("bytes")).filter(F.col("bytes") > target)
+        often = often.select(*[F.col(c).alias(f"o_{c}") for c in key], "held", F.expr(f"cast(least(held, ceil(bytes / {target})) as int)").alias("ranges")).checkpoint()
+        same = F.expr("page_id <=> o_page_id and url <=> o_url and digest = o_digest")
         begin = lambda r: f"cast(held as bigint) * ({r}) div ranges"
+        held = rows.join(F.broadcast(often), same).dropDuplicates(key).withColumn("r", F.explode(F.expr("sequence(0, ranges - 1)")))
         ranges = held.select(*key, "html", F.expr(begin("r")).alias("copy"), F.expr(f"{begin('r + 1')} - {begin('r')}").alias("copies"))
         dealt = plain(rows.join(F.broadcast(often), same, "left_anti")).union(ranges)
+        # a mark goes to every shard of its row's copies
+        ranged = noted.drop("copy").join(F.broadcast(often), same, "left").withColumn("r", F.explode(F.expr("sequence(0, coalesce(ranges, 1) - 1)")))
+        noted = ranged.withColumn("copy", F.expr(f"coalesce({begin('r')}, -1L)"))
     blank = F.lit(None).cast("string")
     both = dealt.select(*key, "html", "copy", "copies", F.lit(0).alias("mark"), F.lit(None).cast("long").alias("first"), blank.alias("first_url"))
-    noted = marks.withColumn("copy", F.lit(-1).cast("long"))
-    if not often.isEmpty():  # a mark goes to every shard of its row's copies
-        ranged = noted.join(F.broadcast(often), same, "left").withColumn("r", F.explode(F.expr("sequence(0, coalesce(ranges, 1) - 1)")))
-        noted = ranged.withColumn("copy", F.expr(f"coalesce({begin('r')}, -1L)"))
     both = both.union(noted.select(*key, blank, "copy", F.lit(0).cast("long"), F.lit(1), "first", "first_url"))
-    dealt = both.withColumn("shard", _dealt(*_shards(slim, target))).repartition("shard")
+    dealt = both.withColumn("shard", _dealt(edges, first, parts)).repartition("shard")
     dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "url", F.col("mark").desc(), "copy")
     dealt.mapInArrow(partial(_write, root=root, roll=roll, least=least), _MANIFEST).write.parquet(f"{root}/_attempts")
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
