@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relspark.functions.positional import COMPARISONS, as_literal, place_of
-from relspark.operators.relational import AGGREGATES
+from relspark.functions.positional import COMPARISONS, FLIPPED, as_literal, place_of
+from relspark.operators.relational import AGGREGATES, join_named
 from relspark.plans.layouts import Layout
 
 
@@ -124,17 +124,17 @@ class Catalog:
             upto = width + (len(part.columns) if part else 0)
             now = [p for p in waiting if max(p[0], p[2]) < upto]
             waiting = [p for p in waiting if p not in now]
-            met = [COMPARISONS[op](scope.column(a), scope.column(b)) for a, op, b in now]
-            if part is None:
-                for m in met:
-                    joined = joined.filter(m)
+            across = [(f"c{a}", op, f"c{b}") if a < b else (f"c{b}", FLIPPED.get(op, op), f"c{a}") for a, op, b in now if (a < width) != (b < width)]
+            if part is not None:
+                if not across:
+                    raise QueryError("a relation has no condition with those before it; cross products are not made")
+                own = [p for p in now if (p[0] < width) == (p[2] < width)]
+                for a, op, b in own:
+                    part = part.filter(COMPARISONS[op](scope.column(a), scope.column(b)))
+                joined, width = join_named(joined, part, across), upto
                 continue
-            if not any((a < width) != (b < width) for a, _, b in now):
-                raise QueryError("a relation has no condition with those before it; cross products are not made")
-            condition = met[0]
-            for m in met[1:]:
-                condition = condition & m
-            joined, width = joined.join(part, condition), upto
+            for a, op, b in now:
+                joined = joined.filter(COMPARISONS[op](scope.column(a), scope.column(b)))
         return self._output(joined, scope, list(select), list(group_by))
 
     def _output(self, joined: DataFrame, scope: _Scope, select: list, group_by: list) -> DataFrame:

@@ -18,6 +18,8 @@ COMPARISONS: dict[str, Callable] = {
     "=": operator.eq, "==": operator.eq, "!=": operator.ne, "<>": operator.ne,
     ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le,
 }
+#: The comparisons that hold with their sides exchanged, where these are others.
+FLIPPED = {">": "<", "<": ">", ">=": "<=", "<=": ">="}
 
 
 def place_of(names: list[str], ref: int | str) -> int:

@@ -4,8 +4,9 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-
+from relspark.catalog import Catalog, Ref
 from relspark.operators import aggregate, compare_columns, conjunction, join, join_all, project, relational, restrict
 from relspark.operators.relational import STRATEGIES
 from relspark.plans.explain import physical_nodes, plan_text, summary
@@ -71,6 +72,44 @@ def test_join_conditions(spark):
         join_all([a, b], [])
 
 
+def test_dealt_join(spark, monkeypatch):
+    """Joins with "<" and the like beyond PAIRS: all pairs of rows once, whatever the keys, in tasks of a few pairs of blocks."""
+    for name, value in (("PAIRS", 500), ("BLOCK", 10), ("DEALT", 200)):
+        monkeypatch.setattr(relational, name, value, raising=False)
+    rng = random.Random(5)
+    one = [(rng.choice([1, 1, 1, 2, 3, None]), rng.randrange(20)) for _ in range(150)]  # with copies
+    other = [(rng.choice([1, 1, 1, 2, 4, None]), rng.choice([None, *range(20)])) for _ in range(200)]
+    a, b = spark.createDataFrame(one, "k int, v int"), spark.createDataFrame(other, "k long, v int")
+    same = [(*x, *y) for x in one for y in other if None not in (*x, *y) and x[0] == y[0]]
+    want = sorted(p for p in same if p[1] < p[3])
+    found = join(a, b, [("k", "=", "k"), ("v", "<", "v")])
+    assert sorted(map(tuple, found.collect())) == want and found.columns == ["k", "v", "k_2", "v_2"] and found.dtypes[0][1] == "int"
+    for strategy in STRATEGIES:
+        assert sorted(map(tuple, join(a, b, [("v", "<", "v"), ("k", "=", "k")], strategy).collect())) == want, strategy
+    assert sorted(map(tuple, join(a, b, [("k", "==", "k"), ("v", "!=", "v")]).collect())) == sorted(p for p in same if p[1] != p[3])
+    assert bag(join(a, b, [("v", ">=", "v")])) == sorted(((*x, *y) for x in one for y in other if y[1] is not None and x[1] >= y[1]), key=str)
+    assert sorted(map(tuple, join(a, a, [("k", "=", "k"), ("v", "<", "v")]).collect())) == sorted((*x, *y) for x in one for y in one if None not in (*x, *y) and x[0] == y[0] and x[1] < y[1])
+    assert "explode" in plan_text(found) and "explode" not in plan_text(join(a, b, ("k", "k")))
+    nan = float("nan")
+    c = spark.createDataFrame([((0.0, -0.0, nan)[k % 3], k) for k in range(90)], "k double, v int")
+    signs = join(c, c, [("k", "=", "k"), ("v", "<", "v")])
+    assert signs.count() == 60 * 59 // 2 + 30 * 29 // 2 and "explode" in plan_text(signs)
+    monkeypatch.setattr(relational, "FEW", 0)
+    assert sorted(map(tuple, join(a, b, [("k", "=", "k"), ("v", "<", "v")]).collect())) == want
+    assert join(a.limit(0), b, [("k", "=", "k"), ("v", "<", "v")]).count() == 0 == join(a.limit(0), b, [("v", "<", "v")]).count()
+
+
+def test_dealt_join_spreads_a_key(spark, monkeypatch):
+    for name, value in (("PAIRS", 10_000), ("BLOCK", 20)):
+        monkeypatch.setattr(relational, name, value, raising=False)
+    a, b = spark.range(600).selectExpr("0 as k", "id as v"), spark.range(800).selectExpr("0 as k", "id as v")
+    catalog = Catalog(spark)
+    catalog.register("one", a), catalog.register("other", b)
+    for found in (join(a, b, [("k", "=", "k"), ("v", "<", "v")]), catalog.query("*", ["one", "other"], [("other.v", ">", Ref("one.v")), ("one.k", "=", Ref("other.k"))])):
+        tasks = [n for _, n in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == 600 * 599 // 2 + 600 * 200 and max(tasks) < sum(tasks) / 10
+
+
 def test_aggregate(spark):
     t = table_of(spark, [(1, 101, 5, 10.0), (2, 101, 3, 10.0), (3, 102, 7, 15.0), (4, 102, 2, 15.0), (5, 103, 4, 20.0)], ["id", "product", "qty", "price"])
     one = lambda *a: aggregate(t, *a).collect()[0][0]
